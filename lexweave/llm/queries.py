@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontam, jaccard_join, langid, line_quality, packing, pii, suffix_dedup
+from lexweave.llm import decontam, html_extract, jaccard_join, langid, line_quality, lm_score, packing, pii, suffix_dedup, toxicity
 from lexweave.session import table
 
 
@@ -26,6 +26,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op7(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
