@@ -7,8 +7,8 @@ scanned once; places in the joined words map back to word numbers and from there
 spans of the original.
 
 Defined results: null or wordless text -> no hits; null or wordless item -> no window;
-windows shared by several items name all of them; an empty benchmark hits nothing. Item ids
-in `items` are strings, sorted as strings, without repeats.
+windows shared by several items name all of them; an empty benchmark hits nothing. An item without
+an id is left out. Item ids in `items` are strings, sorted as strings, without repeats.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,10 +106,14 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
+def _items(benchmark: DataFrame) -> tuple[list[tuple[str, str | None]], str]:
+    items = [(str(r.item_id), r.text) for r in benchmark.select("item_id", "text").collect() if r.item_id is not None]
+    return items, hashlib.sha256(repr(sorted(items, key=repr)).encode()).hexdigest()
+
+
 def _scan_block(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
-    items = [(str(r.item_id), r.text) for r in benchmark.select("item_id", "text").collect() if r.item_id is not None]
-    digest = hashlib.sha256(repr(sorted(items, key=repr)).encode()).hexdigest()
+    items, digest = _items(benchmark)
     shared = spark.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text, checked above
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,6 +147,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.size(flat("hits")).cast("long").alias("n_hit"), flat("items").alias("items"), flat("spans").alias("spans"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of docs without a hit, with all their columns; benchmark blocks filter one after the other."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    for block in _blocks(benchmark):
+        items, digest = _items(block)
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], digest: str = digest, shared=shared) -> Iterator[pa.RecordBatch]:
+            w = _windows(digest, shared.value, window)
+            for b in batches:
+                yield b.filter(pa.array([not len(w.scan(t)[1]) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     got = decontaminate(docs, benchmark)
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +199,20 @@ def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: LangIdModel) -> DataFrame:
+    """Rows of docs that the model does not reject, with all their columns."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            got = [m.score(t) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([x != "und" and s >= m.threshold for x, s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> DataFrame:
     """The digest of op1: held_out marks rows that training could not see (false for a null doc_id)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

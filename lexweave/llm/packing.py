@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, folder: str | None = None, with_
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def _patterns(have: np.ndarray, limit: int, slack: int = 6, triples: int = 24) -> np.ndarray:
+def _patterns(have: np.ndarray, limit: int, slack: int = 2, triples: int = 24) -> np.ndarray:
     """Rows of three lengths (0: none) that leave at most slack: pairs, and some triples for each length."""
     rows = []
     for a in have[have >= limit // 2]:

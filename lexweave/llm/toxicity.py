@@ -8,7 +8,7 @@ maximisation how each voter votes given the hidden label, and from the votes' re
 under the posterior how much voters repeat each other; correlated voters share their weight. Its
 posterior labels, not the given ones, train a logistic classifier on lexicon words and pattern
 features by stochastic gradient descent. The given labels serve to mine the lexicon, to name the
-classes, and to calibrate the final score.
+classes as the first guess of the posterior, and to calibrate the final score.
 
 Training takes a bounded sample: `train_rows` labelled rows by hash order, `train_chars` characters
 of each. Scoring takes whole texts. Defined results: null, empty or wordless texts score as a text
@@ -111,11 +111,14 @@ def votes(x: np.ndarray, m: int) -> np.ndarray:
     return v
 
 
-def label_model(v: np.ndarray, prior: float, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic, accuracy of each voter, and its weight after correlations."""
+def label_model(v: np.ndarray, prior: float, config: ToxicityConfig, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic, accuracy of each voter, and its weight after correlations.
+
+    start: a first guess of the posterior; without it a vote in which correlated voters share."""
     n, m = v.shape
-    q = np.clip((v.sum(axis=1) + 0.5) / 2, 0.05, 0.95)
-    weight = np.ones(m)
+    raw = (v - v.mean(axis=0)) / (v.std(axis=0) + 1e-9)
+    weight = 1 / np.maximum(1, ((raw.T @ raw / n) ** 2).sum(axis=0))
+    q = 1 / (1 + np.exp(-np.clip(2 * (v @ weight), -3, 3))) if start is None else start
     kinds = [(v == k).astype(float) for k in (-1, 0, 1)]
     for i in range(config.rounds):
         tox = np.stack([(k * q[:, None]).sum(axis=0) for k in kinds]) + 0.5
@@ -123,11 +126,11 @@ def label_model(v: np.ndarray, prior: float, config: ToxicityConfig) -> tuple[np
         p, r = tox / tox.sum(axis=0), cln / cln.sum(axis=0)
         logit = np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(a) - np.log(b))) for k, a, b in zip(kinds, p, r, strict=True))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if i == config.rounds // 2:  # correlations of what the label does not explain
-            mean = q[:, None] * (p[2] - p[0]) + (1 - q[:, None]) * (r[2] - r[0])
-            left = v - mean
-            left /= np.sqrt((left**2).mean(axis=0)) + 1e-9
-            weight = 1 / np.maximum(1, np.abs(left.T @ left / n).clip(0, 1).sum(axis=0))
+        mean = q[:, None] * (p[2] - p[0]) + (1 - q[:, None]) * (r[2] - r[0])
+        left = v - mean  # what the label does not explain
+        left /= np.sqrt((left**2).mean(axis=0)) + 1e-9
+        both = np.abs(left.T @ left / n).clip(0, 1)
+        weight = 1 / np.maximum(1, np.where(both > 0.4, both, 0).sum(axis=0))
     accuracy = (p[2] * prior + r[0] * (1 - prior)) / np.maximum(1e-9, (p[2] + p[0]) * prior + (r[0] + r[2]) * (1 - prior))
     return q, accuracy, weight
 
@@ -140,9 +143,7 @@ def train(rows: list[tuple[str, int]], config: ToxicityConfig = ToxicityConfig()
     words = mine(rows, config)
     x = features([t for t, _ in rows], {w: i for i, w in enumerate(words)})
     y = np.array([k for _, k in rows], dtype=float)
-    q, accuracy, _ = label_model(votes(x, len(words)), toxic / len(rows), config)
-    if np.corrcoef(q, y)[0, 1] < 0:
-        q = 1 - q
+    q, accuracy, _ = label_model(votes(x, len(words)), toxic / len(rows), config, np.where(y > 0, 0.9, 0.05))
     rng = np.random.default_rng(config.seed)
     w, b = np.zeros(x.shape[1]), 0.0
     for e in range(config.epochs):
