@@ -197,18 +197,18 @@ def _pack(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, ", ".join(f"{c} {kind[c]}" for c in rest) + ", z binary")
 
 
-def _cut(texts: DataFrame, wanted: DataFrame, config: RepeatConfig, few: bool) -> DataFrame:
+def _cut(texts: DataFrame, wanted: DataFrame, config: RepeatConfig) -> DataFrame:
     """key, k1, k2, lo, times, raw: the wanted slabs, those of crowded anchors in parts."""
     width, reach = config.width, config.width - config.gram + 1
     grouped = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "fp", "slab", "times", "n")).alias("want"))  # of one text
-    joined = texts.join(F.broadcast(grouped), ["k1", "k2"]).withColumnRenamed("text", "body") if few else _pack(texts).join(grouped, ["k1", "k2"]).withColumnRenamed("z", "body")
+    joined = _pack(texts).join(grouped, ["k1", "k2"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for k1, k2, body, want in zip(b["k1"], b["k2"], b["body"], b["want"], strict=True):
-                raw = body.encode("utf-8", "surrogatepass") if few else d.decompress(body)
+            for k1, k2, body, want in zip(b["k1"], b["k2"], b["z"], b["want"], strict=True):
+                raw = d.decompress(body)
                 for x in want:
                     lo, hi, fp, slab, times, n = (x[c] for c in ("lo", "hi", "fp", "slab", "times", "n"))
                     parts = -(-n // config.anchor_slabs)
@@ -228,7 +228,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, config: RepeatConfig, few: bool) -
             yield pd.DataFrame(out, columns=names)
 
     names = ["key", "k1", "k2", "lo", "slab", "times", "raw"]
-    made = joined.select("k1", "k2", "body", "want").mapInPandas(run, "key long, k1 long, k2 long, lo long, slab long, times long, raw binary")
+    made = joined.select("k1", "k2", "z", "want").mapInPandas(run, "key long, k1 long, k2 long, lo long, slab long, times long, raw binary")
     return made.dropDuplicates(["key", "slab", "lo", "k1", "k2"])  # copies of a text hold the same slabs
 
 
@@ -266,18 +266,19 @@ def _scan(parts: DataFrame, config: RepeatConfig, n: int) -> DataFrame:
 
 def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     """k1, k2, runs: for each text with any, the merged byte runs [start, end) to remove."""
-    every = materialize(_slab_table(docs, config), "slabs")
+    every = _slab_table(docs, config)  # made twice: cheaper than keeping it
     seen = every.groupBy("fp").agg(F.count("*").alias("n"), F.min("slab").alias("a"), F.max("slab").alias("b")).filter("n > 1").select("fp", "n", (F.col("a") != F.col("b")).alias("mixed"))
-    live = materialize(every.join(seen, "fp"), "live-slabs")
+    seen = materialize(seen, "seen-anchors")  # so that a crowded anchor can be split in the join
+    live = materialize(every.select("k1", "k2", (F.col("lo") * 256 + F.col("hi") - F.col("lo")).alias("place"), "fp", "slab").join(seen, "fp").select("k1", "k2", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("hi"), "fp", "slab", "n", "mixed"), "live-slabs")
     whole = live.filter("NOT mixed").select("k1", "k2", "lo", "hi")
     mixed = live.filter("mixed")
     kinds = materialize(mixed.groupBy("fp", "slab").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "hi", "n")).alias("at")), "mixed-slabs")
     copied = mixed.join(kinds.filter("times > 1").select("fp", "slab"), ["fp", "slab"]).select("k1", "k2", "lo", "hi")
     wanted = kinds.select("fp", "slab", "times", "at.*")
-    size = kinds.agg(F.sum(F.col("at.hi") - F.col("at.lo") + 1), F.count("*")).first()
-    n = max(shuffle_partitions(docs.sparkSession), -(-(size[0] or 0) // config.family_windows))
+    windows = kinds.agg(F.sum(F.col("at.hi") - F.col("at.lo") + 1)).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-windows // config.family_windows))
     texts = docs.filter(F.octet_length("text") >= config.width).select(*_keys(), "text")
-    found = _scan(_cut(texts, wanted, config, size[1] <= config.broadcast_runs), config, n)
+    found = _scan(_cut(texts, wanted, config), config, n)
     ranges = whole.unionByName(copied).unionByName(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))  # of one text
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
