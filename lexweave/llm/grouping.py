@@ -1,4 +1,4 @@
-"""Shared pieces: whole groups out of Arrow batches, forests, and connected components."""
+"""Shared pieces: whole groups out of Arrow batches, stars, and connected components."""
 
 from __future__ import annotations
 
@@ -31,24 +31,15 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[ob
         yield held[0][key].iloc[0], held[0] if len(held) == 1 else pd.concat(held)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the edges a-b over 0..n-1 as two arrays."""
-    root = list(range(n))
+def stars(names: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least name of the group, other name) for each other member of the groups that label tells apart.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    u, v = [], []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            u.append(x)
-            v.append(y)
-    return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+    The centre does not depend on any order, so stars of overlapping groups coincide."""
+    order = np.lexsort((names, label))
+    first = np.concatenate([[True], label[order][1:] != label[order][:-1]])
+    centre = names[order][first][np.cumsum(first) - 1]
+    other = centre != names[order]
+    return centre[other], names[order][other]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,9 +10,9 @@ that are almost equal to it (whatever is similar to them is near the pivot too),
 on the next tokens; what is still large after `depth` levels is brute-forced in blocks. The number
 of runs follows from the target recall for a pair right at the threshold.
 
-Candidates pass on only as spanning forests. Within each connected component of candidates the
+Candidates pass on only as stars, whose centre is the least set of the component in its node. Within each connected component of candidates the
 exact Jaccard similarity of the 5-gram sets then decides every link, in blocks of bounded size, so
-links are exact and complete inside a component, and only their counts and forests leave a task.
+links are exact and complete inside a component, and only their counts and stars leave a task.
 
 Result: one row for each row of docs: doc_id, class_id (least doc_id of the connected component of
 links), n_links (rows at least `similarity` similar to it, equal ones included), class_key.
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.grouping import components, forest, whole_groups
+from lexweave.llm.grouping import components, stars, whole_groups
 from lexweave.session import materialize, ship_package
 
 _WORD = re.compile(r"\w+")
@@ -49,9 +49,9 @@ class JoinConfig:
     split_similarity: float = 0.65
     recall: float = 0.999
     depth: int = 3
-    small: int = 1024
-    block_docs: int = 512
-    block_grams: int = 1 << 18
+    small: int = 8192
+    block_docs: int = 2048
+    block_grams: int = 1 << 19
     #: Members that may be broadcast to fetch their texts; more are joined by a shuffle.
     broadcast_rows: int = 500_000
     seed: int = 11
@@ -130,28 +130,37 @@ def sets(docs: DataFrame, config: JoinConfig) -> DataFrame:
     return keyed.mapInPandas(run, f"doc_id {kind}, _k1 long, _k2 long, cls long, size long, sig binary")
 
 
-def _children(path: int, sig: np.ndarray, config: JoinConfig) -> list[int]:
-    """Nodes below path that a set with this signature goes to."""
-    coord = np.arange(config.coords, dtype=_U)
-    pick = _mix(_mix(coord + _U(path & (2**64 - 1))) + _U(config.seed))
-    chosen = np.flatnonzero(pick < _U(int(2**64 / (config.split_similarity * config.coords))))
-    token = (coord[chosen] << _U(32)) | sig[chosen].astype(_U)
-    return _mix(_mix(token) + _U(path & (2**64 - 1)) * _U(3)).view(np.int64).tolist()
+def _picked(path: int, config: JoinConfig) -> np.ndarray:
+    """Coordinates that the node with this path splits on: the same for every set in it."""
+    pick = _mix(_mix(np.arange(config.coords, dtype=_U) + _U(path & (2**64 - 1))) + _U(config.seed))
+    return np.flatnonzero(pick < _U(int(2**64 / (config.split_similarity * config.coords))))
+
+
+def _child(path: np.ndarray, coord: np.ndarray, value: np.ndarray) -> np.ndarray:
+    token = (coord.astype(_U) << _U(32)) | value.astype(_U)
+    return _mix(_mix(token) + path.astype(_U) * _U(3)).view(np.int64)
 
 
 def _split(df: DataFrame, config: JoinConfig, root: bool) -> DataFrame:
     """node, cls of the children; df has cls, sig and, below the root, node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots = _mix(np.arange(1, config.runs + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)).tolist()
+        roots = _mix(np.arange(1, config.runs + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))
         for b in batches:
-            nodes, cls = [], []
-            for i, (c, s) in enumerate(zip(b["cls"], b["sig"], strict=True)):
-                sig = np.frombuffer(s, dtype=np.uint32)
-                got = [x for p in (roots if root else [int(b["node"].iat[i])]) for x in _children(p, sig, config)]
-                nodes += got
-                cls += [c] * len(got)
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "cls": np.array(cls, dtype=np.int64)})
+            if not len(b):
+                continue
+            cls = b["cls"].to_numpy()
+            sig = np.frombuffer(b"".join(b["sig"]), dtype=np.uint32).reshape(len(b), -1)
+            paths = roots if root else np.unique(b["node"].to_numpy()).view(_U)
+            own = None if root else b["node"].to_numpy().view(_U)
+            nodes, members = [], []
+            for p in paths:
+                at = slice(None) if root else np.flatnonzero(own == p)
+                for c in _picked(int(p), config):
+                    value = sig[at, c]
+                    nodes.append(_child(np.full(len(value), p, dtype=_U), np.full(len(value), c), value))
+                    members.append(cls[at])
+            yield pd.DataFrame({"node": np.concatenate([np.zeros(0, np.int64), *nodes]), "cls": np.concatenate([cls[:0], *members])})
 
     return df.mapInPandas(run, "node long, cls long")
 
@@ -160,13 +169,24 @@ def _sketch(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint32).reshape(len(values), -1).astype(np.uint8)
 
 
-def _close(sketches: np.ndarray, i: int, rest: np.ndarray, least: float) -> np.ndarray:
-    agree = (rest == sketches[i]).mean(axis=1)
-    return np.flatnonzero((agree - 1 / 256) / (1 - 1 / 256) >= least)
+def near_components(sk: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """Labels of the components of sketches at least `least` alike (across sides, where there are two).
+
+    A sketch is compared only with those not yet in its component."""
+    label = np.arange(len(sk))
+    two = side.any()
+    for i in range(len(sk) - 1):
+        other = np.flatnonzero((label[i + 1 :] != label[i]) & (side[i + 1 :] != side[i]) if two else label[i + 1 :] != label[i]) + i + 1
+        if len(other):
+            agree = (sk[other] == sk[i]).mean(axis=1)
+            hit = other[(agree - 1 / 256) / (1 - 1 / 256) >= least]
+            if len(hit):
+                label[np.isin(label, label[hit])] = label[i]
+    return label
 
 
 def _brute(df: DataFrame, key: str, config: JoinConfig) -> DataFrame:
-    """Forest edges a, b of near sketches in each group of key; where blk_a < blk_b only across blocks."""
+    """Star edges a, b of near sketches in each group of key; across its sides where there are two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
@@ -175,19 +195,10 @@ def _brute(df: DataFrame, key: str, config: JoinConfig) -> DataFrame:
             if len(cls) < 2:
                 continue
             sk = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(len(cls), -1)
-            side = g["side"].to_numpy()
-            u, v = [], []
-            for i in range(len(cls) - 1):
-                near = _close(sk, i, sk[i + 1 :], config.floor) + i + 1
-                near = near[cls[near] != cls[i]]
-                if side.any():
-                    near = near[side[near] != side[i]]
-                u.append(np.full(len(near), i))
-                v.append(near)
-            x, y = forest(len(cls), np.concatenate(u), np.concatenate(v))
+            x, y = stars(cls, near_components(sk, g["side"].to_numpy(), config.floor))
             if len(x):
-                a.append(cls[x])
-                b.append(cls[y])
+                a.append(x)
+                b.append(y)
             if len(a) > 2000:
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
                 a, b = [], []
@@ -199,7 +210,7 @@ def _brute(df: DataFrame, key: str, config: JoinConfig) -> DataFrame:
 
 def _live(members: DataFrame) -> DataFrame:
     """node, cls, n: members of nodes that hold at least two sets."""
-    sizes = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = materialize(members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
     return materialize(members.join(sizes, "node"), "nodes")
 
 
@@ -260,48 +271,62 @@ def _blocks(rest: DataFrame, config: JoinConfig) -> DataFrame:
     return pairs.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "cls", F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"))
 
 
-def exact_links(sets_: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets at least `least` similar; where side has 1 and 2, only across them."""
-    m = len(sets_)
-    size = np.array([len(s) for s in sets_], dtype=np.float64)
-    every = np.concatenate(sets_)
-    row = np.repeat(np.arange(m), size.astype(int))
-    token, col, count = np.unique(every, return_inverse=True, return_counts=True)
+def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> np.ndarray:
+    """Which sets of left and right (of left with itself, without the diagonal, if None) are similar."""
+    n, sets_ = len(left), left + (right or [])
+    size = np.array([len(s) for s in sets_], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets_)), size)
+    _, col, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
     keep = count[col] > 1
     row, col = row[keep], col[keep]
-    used = np.unique(col)
-    col = np.searchsorted(used, col)
-    inter = np.zeros((m, m), dtype=np.float32)
+    used, col = np.unique(col, return_inverse=True)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for lo in range(0, len(used), 4096):
-        a, z = np.searchsorted(col, [lo, lo + 4096])
-        x = np.zeros((m, min(4096, len(used) - lo)), dtype=np.float32)
-        x[row[a:z], col[a:z] - lo] = 1
-        inter += x @ x.T
-    union = size[:, None] + size[None, :] - inter
-    link = np.triu(inter >= least * union - 1e-9, 1)
-    if side.any():
-        link &= side[:, None] != side[None, :]
-    return np.nonzero(link)
+    a_size, b_size = size[:n], size[n:] if right else size
+    inter = np.zeros((n, len(b_size)), dtype=np.float32)
+    for lo in range(0, len(used), 2048):
+        s, e = np.searchsorted(col, [lo, lo + 2048])
+        x = np.zeros((len(sets_), min(2048, len(used) - lo)), dtype=np.float32)
+        x[row[s:e], col[s:e] - lo] = 1
+        inter += x[:n] @ (x[n:] if right else x).T
+    link = inter >= least * (a_size[:, None] + b_size[None, :] - inter) - 1e-9
+    if not right:
+        np.fill_diagonal(link, False)
+    return link
+
+
+def linked_labels(left: np.ndarray, right: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least name of the component of each row and column of link."""
+    high = np.iinfo(np.int64).max
+    while True:
+        r = np.minimum(right, np.where(link, left[:, None], high).min(axis=0))
+        a = np.minimum(left, np.where(link, r[None, :], high).min(axis=1))
+        if (r == right).all() and (a == left).all():
+            return left, right
+        left, right = a, r
 
 
 def _verify(rows: DataFrame, config: JoinConfig) -> DataFrame:
-    """cls, links, root, other from groups of key: sums of weights, and a forest (other, null elsewhere)."""
+    """a, b, links from groups of key: sums of weights (b null), and star edges of the links."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in whole_groups(batches, "key"):
             g = g.drop_duplicates("cls")
-            if len(g) < 2:
+            side = g["side"].to_numpy()
+            parts = [g[side == 1], g[side == 2]] if side.any() else [g]
+            if min(map(len, parts)) < (1 if side.any() else 2):
                 continue
-            cls, weight = g["cls"].to_numpy(), g["weight"].to_numpy()
-            i, j = exact_links([np.frombuffer(x, dtype=_U) for x in g["grams"]], g["side"].to_numpy(), config.similarity)
-            if not len(i):
+            sets_ = [[np.frombuffer(x, dtype=_U) for x in p["grams"]] for p in parts]
+            link = exact_links(sets_[0], sets_[1] if len(parts) > 1 else None, config.similarity)
+            if not link.any():
                 continue
-            links = np.bincount(i, weights=weight[j], minlength=len(cls)) + np.bincount(j, weights=weight[i], minlength=len(cls))
-            x, y = forest(len(cls), i, j)
-            has = np.flatnonzero(links)
-            yield pd.DataFrame({"a": np.concatenate([cls[has], cls[x]]), "b": pd.array([None] * len(has) + cls[y].tolist(), dtype="Int64"), "links": np.concatenate([links[has].astype(np.int64), np.zeros(len(x), np.int64)])})
+            a, b = parts[0], parts[-1]
+            names = [a["cls"].to_numpy(), b["cls"].to_numpy()]
+            labels = linked_labels(*names, link)
+            links = [link @ b["weight"].to_numpy(), a["weight"].to_numpy() @ link]
+            for k in range(len(parts)):
+                has, off = links[k] > 0, labels[k] != names[k]
+                yield pd.DataFrame({"a": np.concatenate([names[k][has], labels[k][off]]), "b": pd.array([None] * int(has.sum()) + names[k][off].tolist(), dtype="Int64"), "links": np.concatenate([links[k][has].astype(np.int64), np.zeros(int(off.sum()), np.int64)])})
 
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, links long")
 
