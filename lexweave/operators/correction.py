@@ -16,16 +16,25 @@ def surface_dictionary(terms: DataFrame) -> DataFrame:
     return own.unionByName(alias).withColumn("r", F.row_number().over(w)).filter("r = 1").select("surface", "term_id", "term", "category", "parent", (F.col("prio") == 1).alias("is_alias"))
 
 
-def containment_spans(cues: DataFrame, surfaces: DataFrame, seed: int = 4) -> DataFrame:
+def containment_spans(cues: DataFrame, surfaces: DataFrame, seed: int = 4, broadcast_surfaces: int = 100_000) -> DataFrame:
     """Every occurrence of every surface, with offsets.
 
     Surfaces are joined by their first `seed` characters to the texts' windows of that length: an
     equi-join instead of a test of every pair; shorter surfaces are joined by their whole length."""
     s = surfaces.filter(F.length("surface") > 0).withColumn("n", F.least(F.lit(seed), F.length("surface"))).withColumn("key", F.substring(F.col("surface"), F.lit(1), F.col("n")))
-    windows = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(0), F.length("text") - n), lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col("text"), i + 1, F.lit(n)).alias("key"), i.alias("start"))))
-    every = F.flatten(F.filter(F.array(*[windows(n) for n in range(1, seed + 1)]), lambda x: x.isNotNull()))
-    at = cues.withColumn("w", F.explode(every)).select("doc_id", "cue_index", "text", "w.n", "w.key", "w.start")
-    hit = F.substring(F.col("text"), F.col("start") + 1, F.length("surface")) == F.col("surface")
+    used = s.groupBy("n").agg(F.count("*").alias("k"), F.max(F.length("surface")).alias("most")).collect()  # seed rows at most
+    most = max((r["most"] for r in used), default=0)
+    d = cues.select("doc_id", "cue_index", F.split("text", "").alias("_c"))  # characters: a substring from far inside a text would walk it again
+
+    def windows(n: int) -> Column:
+        every = lambda i: F.struct(F.lit(n).alias("n"), F.concat(*[F.get("_c", i + k) for k in range(n)]).alias("key"), i.alias("start"), (F.lit("") if most <= seed else F.array_join(F.slice("_c", i + 1, F.lit(most)), "")).alias("rest"))
+        return F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(0), F.size("_c") - n), every))
+
+    every = F.flatten(F.filter(F.array(*[windows(r["n"]) for r in used] or [windows(1)]), lambda x: x.isNotNull()))
+    at = d.select("doc_id", "cue_index", F.explode(every).alias("w")).select("doc_id", "cue_index", "w.*").filter(F.col("key").isNotNull())
+    # the exploded side must never be the broadcast one, whatever its files' size suggests
+    s = F.broadcast(s) if sum(r["k"] for r in used) <= broadcast_surfaces else s.hint("merge")
+    hit = (F.length("surface") <= seed) | F.startswith(F.col("rest"), F.col("surface"))
     return at.join(s, ["n", "key"]).filter(hit).select("doc_id", "cue_index", "surface", F.col("start").cast("long").alias("start_char"), (F.col("start") + F.length("surface")).cast("long").alias("end_char"))
 
 

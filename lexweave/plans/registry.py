@@ -443,11 +443,11 @@ def levenshtein_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_orderkey id, l_suppkey item FROM lineitem), n AS (SELECT id, count(*) n FROM e GROUP BY id), p AS (SELECT a.id a, b.id b, count(*) k FROM e a JOIN e b ON a.item = b.item AND a.id < b.id GROUP BY a.id, b.id)
+    """WITH e AS (SELECT DISTINCT l_orderkey id, l_partkey item FROM lineitem), n AS (SELECT id, count(*) n FROM e GROUP BY id), p AS (SELECT a.id a, b.id b, count(*) k FROM e a JOIN e b ON a.item = b.item AND a.id < b.id GROUP BY a.id, b.id)
     SELECT a, b, k / (x.n + y.n - k) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k) > 0.4"""
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("items"))
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("items"))
     return corpus.jaccard_pairs(sets)
 
 
