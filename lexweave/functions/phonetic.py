@@ -8,7 +8,8 @@ block, whatever the data. ICU knows one reading per character; `overrides` repla
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +55,17 @@ def syllables(text: str, readings: Mapping[str, str]) -> list[str]:
     return [readings[c] for c in text if c in readings]
 
 
-def lcs_length(a: Sequence, b: Sequence) -> int:
-    """Longest common subsequence; one big integer holds the state of all positions of a."""
-    where: dict = {}
+@lru_cache(maxsize=65536)
+def _places(a: str) -> dict[str, int]:
+    where: dict[str, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
+    return where
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Longest common subsequence; one big integer holds the state of all positions of a."""
+    where = _places(a)
     full = (1 << len(a)) - 1
     open_ = full
     for y in b:
@@ -67,7 +74,7 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return len(a) - open_.bit_count()
 
 
-def ratio(a: Sequence, b: Sequence) -> float:
+def ratio(a: str, b: str) -> float:
     """Indel similarity in percent: 200 x common / total length; 100 for two empty ones."""
     total = len(a) + len(b)
     return 200.0 * lcs_length(a, b) / total if total else 100.0

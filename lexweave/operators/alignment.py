@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.phonetic import ratio, similar_pairs, spelled, syllables
+from lexweave.session import shuffle_partitions
 
 RUN = re.compile("[一-鿿]+")
 ASCII_WORD = re.compile("[A-Za-z0-9]")
@@ -33,6 +34,8 @@ RELAXED_TARGET_CHARS, RELAXED_SURFACE_CHARS, RELAXED_SURFACE, RELAXED_TARGET = 4
 HOT = ("character", "weapon", "artifact", "artifact_piece", "skill", "constellation", "constellation_group", "enemy", "domain")
 HOT_HINTS = ("character", "weapon", "artifact", "artifact_piece", "skill", "constellation", "constellation_group")
 
+REMEMBERED = 200_000  # results an aligner keeps; no result depends on it
+
 MATCH = "surface string, start_char int, end_char int, score double, match_kind string, surface_coverage double, target_coverage double, extra_surface_ratio double"
 
 
@@ -79,6 +82,7 @@ class Match:
 class Aligner:
     readings: Mapping[str, str]
     _close: dict = field(default_factory=dict, repr=False)
+    _weighed: dict = field(default_factory=dict, repr=False)
 
     def closeness(self, a: str, b: str) -> float:
         """ratio() of two syllables; there are only some hundred of them."""
@@ -101,7 +105,7 @@ class Aligner:
         return close, weak
 
     def likeness(self, span: str, term: str, s: list[str], t: list[str]) -> float:
-        return max(ratio(" ".join(s), " ".join(t)), CHAR_WEIGHT * ratio(span, term)) / 100.0
+        return max(ratio(" ".join(t), " ".join(s)), CHAR_WEIGHT * ratio(term, span)) / 100.0
 
     def judge(self, span: str, term: str, prefix: bool = False, policy: str = "repair_to_canonical", source: str = "") -> Match | None:
         """The match of a span with a term, or None where the evidence is too weak.
@@ -113,6 +117,8 @@ class Aligner:
             return None
         s, t = syllables(span, self.readings), syllables(term, self.readings)
         score = self.likeness(span, term, s, t)
+        if not prefix and score < PARTIAL_SCORE and span != term and s != t:
+            return None  # no other kind is left
         leads = len(s) <= len(t) and all(self.closeness(a, b) >= CLOSE for a, b in zip(s, t, strict=False))
         if leads and prefix:
             score = max(score, PREFIX_SCORE)
@@ -146,6 +152,15 @@ class Aligner:
         return Match(round(score, 3), "stable_entity_relaxed", round(cover, 3), round(reach, 3))
 
     def weigh(self, span: str, term: str, how: Search) -> Match | None:
+        """As _weigh; the same spans come up again and again, so results are kept while there is room."""
+        key = (span, term, how.source)
+        if key not in self._weighed:
+            if len(self._weighed) >= REMEMBERED:
+                self._weighed.clear()
+            self._weighed[key] = self._weigh(span, term, how)
+        return self._weighed[key]
+
+    def _weigh(self, span: str, term: str, how: Search) -> Match | None:
         strict = self.judge(span, term, how.prefix, source=how.source)
         if strict and strict.score >= how.least:
             return strict
@@ -209,6 +224,7 @@ def expand(cues: DataFrame, stable: DataFrame, entries: DataFrame, readings: Map
         keyed = own.unionByName(hot.filter("parent <> ''").select(F.col("parent").alias("entity"), "term", "category", "parent"))
     pairs = stable.join(keyed.dropDuplicates(["entity", "term"]), "entity").select("doc_id", "cue_index", "term", "category", "parent").dropDuplicates(["doc_id", "cue_index", "term"])
     d = cues.select("doc_id", "cue_index", "text").join(pairs, ["doc_id", "cue_index"]).filter(~F.contains("text", "term"))
+    d = d.repartition(shuffle_partitions(cues.sparkSession), "doc_id", "cue_index", "term")  # few bytes, much work: not to be coalesced
     d = d.withColumn("m", best_span(F.col("text"), F.col("term"), readings, how)).filter(F.col("m.score").isNotNull())
     d = d.select("doc_id", "cue_index", F.col("term").alias("value"), "category", "parent", "m.*", F.lit(how.source).alias("source"))
     if top is None:

@@ -14,16 +14,16 @@ CAUSES = ("NON_TERMINOLOGY_DIFF", "PARTIAL_FIX", "REQUERY_FAILED", "PHASE2_REJEC
 
 def grams(text: Column, letter: str = CJK, low: int = 2, high: int = 5) -> Column:
     """All n-grams made of the letter class only, shorter ones first, repeated ones kept."""
-    chars = F.split(text, "")
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     every = F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
     return F.filter(every, lambda x: x.rlike(f"^(?:{letter})+$"))
 
 
 def gold_terms(raw: Column, gold: Column, letter: str = CJK) -> Column:
     """n-grams of the gold text that the raw text lacks; none if either is null or empty."""
-    own = grams(raw, letter)
-    found = F.filter(grams(gold, letter), lambda x: ~F.array_contains(own, x))
+    # bound to a lambda variable: evaluated once, not for every element
+    both = F.array(F.struct(grams(gold, letter).alias("every"), F.array_except(grams(gold, letter), grams(raw, letter)).alias("new")))
+    found = F.get(F.transform(both, lambda b: F.filter(b["every"], lambda x: F.array_contains(b["new"], x))), 0)
     return F.when((F.length(raw) > 0) & (F.length(gold) > 0), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -91,8 +91,7 @@ def surface_scores(surfaces: DataFrame, grams: DataFrame, near: DataFrame, conte
 
 def surfaces_of(cues: DataFrame, letter: str = CJK) -> DataFrame:
     """(doc_id, cue_index, surface, start_char): distinct windows of 2 to 4 letters, at their first place."""
-    chars = F.split("text", "")
-    at = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(0), F.length("text") - n), lambda i: F.struct(F.array_join(F.slice(chars, i + 1, F.lit(n)), "").alias("surface"), i.alias("start_char"))))
+    at = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(0), F.length("text") - n), lambda i: F.struct(F.substring("text", i + 1, F.lit(n)).alias("surface"), i.alias("start_char"))))
     every = F.flatten(F.filter(F.array(at(2), at(3), at(4)), lambda x: x.isNotNull()))
     d = cues.select("doc_id", "cue_index", F.explode(F.filter(every, lambda x: x["surface"].rlike(f"^(?:{letter})+$"))).alias("w"))
     return d.groupBy("doc_id", "cue_index", F.col("w.surface").alias("surface")).agg(F.min("w.start_char").alias("start_char"))

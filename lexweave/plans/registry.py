@@ -30,11 +30,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from lexweave.plans import engine
+
+    return {**_QUERIES, **engine.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from lexweave.plans import engine
+
+    return {**_SQL, **engine.SQL}
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
