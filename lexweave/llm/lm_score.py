@@ -2,16 +2,19 @@
 
 A token is a hash bucket of a lower-cased word. The `top` most frequent buckets of the corpus are
 classes of their own, the others share `rest` classes by hash; a small network predicts the class of
-each token from the classes of the two tokens on either side, and the share of the token in its
-class, from corpus counts, completes its conditional probability. A document's score is the sum of
-the conditional log-probabilities of all its tokens.
-
-Counts cover every token of every document, and are summed in each task before they are shuffled;
-their number is bounded by `buckets`. Training covers every document: each task starts from the same
-weights and takes stochastic gradient steps on every `stride`-th token of its documents; the tasks'
-weights are then averaged, weighted by their tokens, with a distributed sum. What leaves the
-executors is so a table of `buckets` counts and one set of averaged weights, while what is gathered
-for them grows with the corpus.
+each token from the classes of the two tokens on either side. Inside a shared class a second level
+predicts the bucket from the same hidden state: a Huffman tree over the class's buckets, with a
+logistic unit at each fork whose bias starts at the corpus share of its two sides. The product is a
+distribution over all buckets. A document's score is the sum of the conditional log-probabilities of
+all its tokens.
+
+Texts are cut into buckets once; two bytes for each token go to the shared folder. Counts cover every
+token of every document, and are summed in each task before they are shuffled; their number is bounded
+by `buckets`. Training covers every token of every document (`stride` 1): each task starts from the
+same weights and takes stochastic gradient steps over its documents; the tasks' weights are then
+averaged with a distributed sum, weighted by their tokens and those of a fork by its own visits. What
+leaves the executors is so a table of `buckets` counts and one set of averaged weights, while what is
+gathered for them grows with the corpus.
 
 Defined results: null or wordless text has n_tokens 0, pll 0 and a null pll_per_token; an empty table
 gives an empty result; repeated rows are scored each; long texts are scored in blocks.
@@ -19,6 +22,8 @@ gives an empty result; repeated rows are scored each; long texts are scored in b
 
 from __future__ import annotations
 
+import copy
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from lexweave.session import materialize, ship_package
 
 _WORD = re.compile(r"\w+")
-_ROWS = 1 << 14
+_ROWS = 1 << 10
+_HELD = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -42,7 +48,7 @@ class LmConfig:
     rest: int = 63
     dim: int = 16
     window: int = 2
-    stride: int = 16
+    stride: int = 1
     batch: int = 256
     rate: float = 0.15
     seed: int = 3
@@ -68,6 +74,61 @@ def tokens(text: str | None, config: LmConfig) -> np.ndarray:
     return np.array([ids[w] for w in _WORD.findall((text or "").lower())], dtype=np.int64) % config.buckets
 
 
+class Tree:
+    """Second level: for each bucket the forks on its way from the root of its class, and the side taken."""
+
+    def __init__(self, count: np.ndarray, cls: np.ndarray, config: LmConfig):
+        ways: list[list[int]] = [[] for _ in range(len(count))]
+        bias, weight = [], count + 1.0
+        for c in range(config.top, config.top + config.rest):
+            heap = [(float(weight[k]), int(k), [int(k)]) for k in np.flatnonzero(cls == c)]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (x, i, left), (y, j, right) = heapq.heappop(heap), heapq.heappop(heap)
+                for side, held in ((0, left), (1, right)):
+                    for k in held:
+                        ways[k].append(2 * len(bias) + side)
+                bias.append(np.log(x / y))
+                heapq.heappush(heap, (x + y, min(i, j), left + right))
+        self.length = np.array([len(w) for w in ways], dtype=np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.way = np.array([x for w in ways for x in w], dtype=np.int32)
+        self.forks = np.zeros((len(bias), config.dim + 1), dtype=np.float32)  # vector, bias
+        self.forks[:, -1] = bias
+
+    def ways(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, fork, and +1 or -1 for its side, of every fork on the ways of the buckets."""
+        n = self.length[bucket]
+        row = np.repeat(np.arange(len(bucket)), n)
+        step = self.way[np.arange(len(row)) + np.repeat(self.first[bucket] - (np.cumsum(n) - n), n)]
+        return row, step >> 1, (1 - 2 * (step & 1)).astype(np.float32)
+
+    def logits(self, hidden: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        return np.einsum("nd,nd->n", vector[:, :-1], hidden) + vector[:, -1]
+
+    def logprob(self, hidden: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        row, fork, side = self.ways(bucket)
+        z = side * self.logits(hidden[row], self.forks[fork])
+        return np.bincount(row, weights=-np.logaddexp(0, -z), minlength=len(bucket))
+
+    def step(self, hidden: np.ndarray, bucket: np.ndarray, rate: float, visits: np.ndarray) -> np.ndarray:
+        """One gradient step; returns the step of the hidden state."""
+        row, fork, side = self.ways(bucket)
+        back = np.zeros_like(hidden)
+        if not len(row):
+            return back
+        near, vector = hidden[row], self.forks[fork]
+        g = (-rate * side / (1 + np.exp(np.clip(side * self.logits(near, vector), -30, 30))))[:, None]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        back[row[first]] = np.add.reduceat(g * vector[:, :-1], first, axis=0)
+        order = np.argsort(fork, kind="stable")
+        held = fork[order]
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        self.forks[held[first]] -= np.add.reduceat(np.concatenate([g * near, g], axis=1)[order], first, axis=0)
+        visits[held[first]] += np.diff(np.r_[first, len(held)])
+        return back
+
+
 class Network:
     """Position-wise class embeddings, tanh of their sum, softmax over classes."""
 
@@ -85,22 +146,31 @@ class Network:
         return np.tanh(sum(self.inner[i][context[:, i]] for i in range(context.shape[1])))
 
     def logprob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.outer + self.bias
+        return self.logprob_of(self.hidden(context), target)
+
+    def logprob_of(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        z = hidden @ self.outer + self.bias
         z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(target)), target] - np.log(np.exp(z).sum(axis=1))
+        own = z[np.arange(len(target)), target]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+    def step(self, context: np.ndarray, target: np.ndarray, rate: float, tree: Tree, bucket: np.ndarray, visits: np.ndarray) -> None:
         h = self.hidden(context)
         z = h @ self.outer + self.bias
-        g = np.exp(z - z.max(axis=1, keepdims=True))
+        z -= z.max(axis=1, keepdims=True)
+        g = np.exp(z, out=z)
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(target)), target] -= 1
-        g *= rate / np.sqrt(len(target))
-        back = (g @ self.outer.T) * (1 - h * h)
+        rate /= np.sqrt(len(target))
+        g *= rate
+        back = (g @ self.outer.T + tree.step(h, bucket, rate, visits)) * (1 - h * h)
         self.outer -= h.T @ g
         self.bias -= g.sum(axis=0)
         for i in range(context.shape[1]):
-            np.subtract.at(self.inner[i], context[:, i], back)
+            order = np.argsort(context[:, i], kind="stable")
+            held = context[order, i]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            self.inner[i][held[first]] -= np.add.reduceat(back[order], first, axis=0)
 
 
 def contexts(cls: np.ndarray, at: np.ndarray, config: LmConfig) -> np.ndarray:
@@ -114,107 +184,155 @@ def contexts(cls: np.ndarray, at: np.ndarray, config: LmConfig) -> np.ndarray:
 class Model:
     config: LmConfig
     class_of: np.ndarray
-    within: np.ndarray
+    tree: Tree
     network: Network
 
     def score(self, text: str | None) -> tuple[int, float]:
-        t = tokens(text, self.config)
-        cls, total = self.class_of[t], 0.0
-        for lo in range(0, len(t), _ROWS):
-            at = np.arange(lo, min(len(t), lo + _ROWS))
-            total += float(self.network.logprob(contexts(cls, at, self.config), cls[at]).sum(dtype=np.float64))
-        return len(t), total + float(self.within[t].sum())
+        return self.scores([tokens(text, self.config)])[0]
+
+    def scores(self, texts: list[np.ndarray]) -> list[tuple[int, float]]:
+        """Tokens and score of each text. Texts stand in one row, with the class of the end between them."""
+        w, end = self.config.window, self.config.classes - 1
+        gap = np.zeros(w, dtype=np.int64)
+        bucket = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        which = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(which)) + w * (which + 1)
+        cls = np.full(len(bucket), end)
+        cls[place] = self.class_of[bucket[place]]
+        near = np.array([i for i in range(-w, w + 1) if i])
+        total = np.zeros(len(texts))
+        for lo in range(0, len(place), _ROWS):
+            at = place[lo : lo + _ROWS]
+            h = self.network.hidden(cls[at[:, None] + near])
+            got = self.network.logprob_of(h, cls[at]) + self.tree.logprob(h, bucket[at])
+            total += np.bincount(which[lo : lo + _ROWS], weights=got, minlength=len(texts))
+        return list(zip(size.tolist(), total.tolist(), strict=True))
+
+
+def cut(docs: DataFrame, config: LmConfig) -> DataFrame:
+    """doc_id, t: the buckets of each text, two bytes each, in the shared folder."""
+    if config.buckets > 1 << 16:
+        raise ValueError("a bucket takes two bytes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t": [tokens(x, config).astype(np.uint16).tobytes() for x in b["text"]]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, t binary"), "buckets")
+
 
+def _read(t: bytes) -> np.ndarray:
+    return np.frombuffer(t, dtype=np.uint16).astype(np.int64)
 
-def count_tokens(docs: DataFrame, config: LmConfig) -> np.ndarray:
+
+def count_tokens(held: DataFrame, config: LmConfig) -> np.ndarray:
     """Occurrences of each bucket over all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(config.buckets, dtype=np.int64)
         for b in batches:
-            for text in b["text"]:
-                n += np.bincount(tokens(text, config), minlength=config.buckets) if text and len(text) > 200_000 else 0
-                if text and len(text) <= 200_000:
-                    np.add.at(n, tokens(text, config), 1)
+            n += np.bincount(_read(b"".join(b["t"])), minlength=config.buckets)
         has = np.flatnonzero(n)
         yield pd.DataFrame({"bucket": has.astype(np.int32), "n": n[has]})
 
-    rows = docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most buckets rows
+    rows = held.select("t").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most buckets rows
     out = np.zeros(config.buckets, dtype=np.int64)
-    for r in rows:
-        out[r.bucket] = r.n
+    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
 
 
-def classes_of(count: np.ndarray, config: LmConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket, and log of its share of the class (smoothed by one)."""
+def classes_of(count: np.ndarray, config: LmConfig) -> np.ndarray:
+    """Class of each bucket."""
     cls = config.top + np.arange(len(count)) % config.rest
     cls[np.lexsort((np.arange(len(count)), -count))[: config.top]] = np.arange(config.top)
-    smooth = count + 1.0
-    return cls, np.log(smooth / np.bincount(cls, weights=smooth, minlength=config.classes)[cls])
+    return cls
 
 
-def train(docs: DataFrame, class_of: np.ndarray, config: LmConfig) -> Network:
-    shared = docs.sparkSession.sparkContext.broadcast(class_of.astype(np.int16))  # buckets numbers
+def train(held: DataFrame, class_of: np.ndarray, tree: Tree, config: LmConfig) -> tuple[Network, Tree]:
+    """Averaged weights of both levels; the forks of `tree` are replaced."""
+    shared = held.sparkSession.sparkContext.broadcast((class_of.astype(np.int16), tree))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, cls_of = Network(config), shared.value
+        net, cls_of, own = Network(config), shared.value[0].astype(np.int64), copy.copy(shared.value[1])
+        own.forks = own.forks.copy()
+        visits = np.zeros(len(own.forks), dtype=np.int64)
         rng = np.random.default_rng(config.seed)
-        seen, xs, ys, held = 0, [], [], 0
+        seen, xs, ys, ts, n = 0, [], [], [], 0
 
         def learn() -> int:
-            x, y = np.concatenate(xs), np.concatenate(ys)
+            x, y, t = np.concatenate(xs), np.concatenate(ys), np.concatenate(ts)
             order = rng.permutation(len(y))
             for lo in range(0, len(y), config.batch):
                 k = order[lo : lo + config.batch]
-                net.step(x[k], y[k], config.rate)
+                net.step(x[k], y[k], config.rate, own, t[k], visits)
             return len(y)
 
         for b in batches:
-            for text in b["text"]:
-                cls = cls_of[tokens(text, config)].astype(np.int64)
-                if not len(cls):
-                    continue
-                at = np.arange(xxhash.xxh32_intdigest(text[:64]) % min(config.stride, len(cls)), len(cls), config.stride)
-                xs.append(contexts(cls, at, config))
-                ys.append(cls[at])
-                held += len(at)
-                if held >= 1 << 16:
-                    seen += learn()
-                    xs, ys, held = [], [], 0
-        if held:
+            for raw in b["t"]:
+                t = _read(raw)
+                cls = cls_of[t]
+                for lo in range(0, len(t), _HELD):
+                    at = np.arange(lo, min(len(t), lo + _HELD), config.stride)
+                    xs.append(contexts(cls, at, config))
+                    ys.append(cls[at])
+                    ts.append(t[at])
+                    n += len(at)
+                    if n >= _HELD:
+                        seen += learn()
+                        xs, ys, ts, n = [], [], [], 0
+        if n:
             seen += learn()
         if seen:
-            yield pd.DataFrame({"w": [net.flat], "n": [float(seen)]})
+            yield pd.DataFrame({"fork": [-1], "n": [float(seen)], "w": [net.flat]})
+            has = np.flatnonzero(visits)
+        if seen and len(has):
+            yield pd.DataFrame({"fork": has, "n": visits[has].astype(float), "w": list(own.forks[has])})
+
+    found = materialize(held.select("t").mapInPandas(run, "fork int, n double, w array<float>"), "weights")
+    mean = found.filter("fork < 0").select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toPandas()  # one set of weights
+    net = Network(config, mean.sort_values("i")["w"].to_numpy()) if len(mean) else Network(config)
+    each = [(F.sum(F.get("w", F.lit(i)) * F.col("n")) / F.sum("n")).cast("float").alias(f"w{i}") for i in range(config.dim + 1)]
+    forks = found.filter("fork >= 0").groupBy("fork").agg(*each).toPandas()  # one set of forks, less than buckets
+    out = copy.copy(tree)
+    out.forks = tree.forks.copy()
+    out.forks[forks["fork"].to_numpy(dtype=np.int64)] = forks.drop(columns="fork").to_numpy(dtype=np.float32)
+    return net, out
+
 
-    found = materialize(docs.select("text").mapInPandas(run, "w array<float>, n double"), "weights")
-    mean = found.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).collect()  # one set of weights
-    net = Network(config)
-    if mean:
-        net = Network(config, np.array([r.w for r in sorted(mean, key=lambda r: r.i)]))
-    return net
+def _fit(held: DataFrame, config: LmConfig) -> Model:
+    count = count_tokens(held, config)
+    cls = classes_of(count, config)
+    net, tree = train(held, cls, Tree(count, cls, config), config)
+    return Model(config, cls, tree, net)
 
 
 def fit(docs: DataFrame, config: LmConfig = LmConfig()) -> Model:
     ship_package(docs.sparkSession)
-    cls, within = classes_of(count_tokens(docs, config), config)
-    return Model(config, cls, within, train(docs, cls, config))
+    return _fit(cut(docs, config), config)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.config, model.class_of.astype(np.int16), model.within.astype(np.float32), model.network.flat))
+def _score(held: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, pll, pll_per_token for each row of held."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        config, cls, within, flat = shared.value
-        m = Model(config, cls.astype(np.int64), within, Network(config, flat))
+        m = shared.value
         for b in batches:
-            got = [m.score(t) for t in b["text"]]
+            got = m.scores([_read(t) for t in b["t"]]) if len(b) else []
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [n for n, _ in got], "pll": [s for _, s in got], "pll_per_token": pd.array([s / n if n else None for n, s in got], dtype="Float64")})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, pll double, pll_per_token double")
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.mapInPandas(run, f"doc_id {kind}, n_tokens long, pll double, pll_per_token double")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, pll, pll_per_token for each row of docs."""
+    return _score(cut(docs, model.config), model)
 
 
 def op5(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame:
-    return score(docs, fit(docs, config))
+    ship_package(docs.sparkSession)
+    held = cut(docs, config)
+    return _score(held, _fit(held, config))

@@ -60,6 +60,26 @@ def test_lm_beats_unigrams_and_knows_order(spark):
     assert np.allclose(every.sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_learns_rare_words_from_every_token(spark):
+    rng = random.Random(2)
+    pairs = [(f"left{i}", f"right{i}") for i in range(60)]
+    rows = [(i, " ".join(x for _ in range(30) for x in rng.choice(pairs))) for i in range(400)]
+    config = lm_score.LmConfig(top=61, rest=1)  # some 60 of the words share one class
+    model = lm_score.fit(spark.createDataFrame(rows, "doc_id long, text string"), config)
+    held = lm_score.cut(spark.createDataFrame(rows[:1], "doc_id long, text string"), config).collect()[0]
+    assert len(held.t) == 2 * 60 and lm_score.LmConfig().stride == 1
+    shared = [i for i, (a, b) in enumerate(pairs) if model.class_of[lm_score.tokens(b, config)[0]] == config.top]
+    assert len(shared) > 5
+    at = lambda i, k: lm_score.tokens(f"{pairs[i][0]} {pairs[k][1]}", config)
+    hidden = lambda t: model.network.hidden(lm_score.contexts(model.class_of[t], np.array([1]), config))
+    own = np.mean([model.tree.logprob(hidden(at(i, i)), at(i, i)[1:])[0] for i in shared])
+    other = np.mean([model.tree.logprob(hidden(at(i, i)), at(i, k)[1:])[0] for i in shared for k in shared if i != k])
+    assert own > other + 0.1  # the neighbours tell words of one class apart
+    h = np.random.default_rng(0).normal(0, 1, (1, config.dim)).astype(np.float32)
+    every = np.flatnonzero(model.class_of == config.top)
+    assert np.isclose(np.exp(model.tree.logprob(np.repeat(h, len(every), 0), every)).sum(), 1, atol=1e-3)
+
+
 def test_lm_edge_rows(edge, empty, clash):
     got = lm_score.op5(clash(edge)).collect()
     assert len(got) == len(EDGE) and lm_score.op5(empty).collect() == []
