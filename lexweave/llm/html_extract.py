@@ -5,11 +5,12 @@ wrapper; every page's DOM tree is aligned with it by simple tree matching (sibli
 tag and class count as one repeated node), which names each of its nodes by a node of the
 reference, or as new below one. Over all pages of the host, counts per node and text then tell
 template from content: a node whose commonest text is on at least `constant_share` of at least
-`constant_pages` different pages is constant, and the container with the most varying text is the
-content slot. A page's text is what its slot holds, without constant nodes and without menus,
+`constant_pages` different pages is constant, and the deepest node that holds at least `cover` of the
+host's varying text is the content slot. A page's text is what its slot holds, without constant nodes and without menus,
 headers, footers, side bars, notices, adverts, forms, scripts, styles and comments, which tags,
 roles and class names give away. A page that has no such slot, or a host with a single page, uses
-the page's own container with the most text.
+the page's own deepest node that holds `cover` of its text. Headings, paragraphs and other plain text
+blocks are never dropped for a class name.
 
 Counts per host and node are combined before they are shuffled, and pages of a host are never
 brought together. Defined results: null, empty or text-free html gives an empty text; broken markup
@@ -48,6 +49,7 @@ _CONTAINER = frozenset("article main section div td body".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond disqus related recommended widget pagination pager toolbar skip".split()
 )
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote article main".split())
 _HEADER = frozenset("header masthead topbar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -58,6 +60,7 @@ _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class WrapperConfig:
     constant_share: float = 0.8
     constant_pages: int = 5
+    cover: float = 0.9
     broadcast_bytes: int = 64 << 20
 
 
@@ -106,7 +109,7 @@ def parse(source: str | None) -> Node:
         found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTR.findall(m[4])} if m[4] else {}
         words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else set()
         inside = any(x.tag in ("article", "main") for x in stack)
-        drop = tag in _DROP or bool(words & _WORDS) or found.get("role") in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (not inside and (tag == "header" or bool(words & _HEADER)))
+        drop = tag in _DROP or (tag not in _PROSE and bool(words & _WORDS)) or found.get("role") in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (not inside and (tag == "header" or bool(words & _HEADER)))
         node = Node(tag, tag + ("." + re.sub(r"[0-9]+", "0", found.get("class") or found.get("id") or "") if found else ""), drop and tag != "body")
         stack[-1].kids.append(node)
         if tag not in _VOID and not m[4].rstrip().endswith("/"):
@@ -224,16 +227,22 @@ def _digest(text: str) -> str:
     return "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def extract(page: Node, slot: str | None, gone: set[str]) -> str:
-    """Text of the slot's blocks; of the container with the most text where there is no slot."""
+def _within(hold: str, slot: str) -> bool:
+    return not slot or hold == slot or hold.startswith(slot + "/")
+
+
+def extract(page: Node, slot: str | None, gone: set[str], cover: float = WrapperConfig.cover) -> str:
+    """Text of the slot's blocks; of the deepest node with `cover` of the text where there is no slot."""
     found = blocks(page, gone)
-    inside = [t for _, hold, t in found if slot and (hold == slot or hold.startswith(slot + "/"))]
+    inside = [t for _, hold, t in found if slot and _within(hold, slot)]
     if not inside and found:
         mass: dict[str, int] = defaultdict(int)
         for _, hold, t in found:
-            mass[hold] += len(t)
-        best = max(mass, key=lambda h: (mass[h], -len(h)))
-        inside = [t for _, hold, t in found if hold == best or hold.startswith(best + "/")]
+            parts = hold.split("/") if hold else []
+            for k in range(len(parts) + 1):
+                mass["/".join(parts[:k])] += len(t)
+        best = max((h for h in mass if mass[h] >= cover * mass[""]), key=len)
+        inside = [t for _, hold, t in found if _within(hold, best)]
     return "\n\n".join(inside)
 
 
@@ -274,7 +283,11 @@ def wrappers(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> DataF
     fixed = texts.join(nodes, ["host", "node"]).filter((F.col("pages") >= config.constant_pages) & (F.col("pages") >= config.constant_share * F.col("all")))
     gone = fixed.groupBy("host").agg(F.collect_set("node").alias("a"), F.collect_set("digest").alias("b")).select("host", F.concat("a", "b").alias("gone"))
     varying = texts.filter(F.col("pages") < config.constant_pages).groupBy("host", "hold").agg(F.sum("chars").alias("mass"))
-    slot = varying.groupBy("host").agg(F.max_by("hold", F.struct("mass", "hold")).alias("slot"))
+    # nodes that hold more than half of the text lie on one path: the longest name is the deepest
+    parts = F.split("hold", "/", -1)
+    above = varying.select("host", "mass", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("slot")).groupBy("host", "slot").agg(F.sum("mass").alias("mass"))
+    total = varying.groupBy("host").agg(F.sum("mass").alias("total"))
+    slot = above.join(total, "host").filter(F.col("mass") >= config.cover * F.col("total")).groupBy("host").agg(F.max_by("slot", F.length("slot")).alias("slot"))
     return materialize(reference.join(slot, "host", "left").join(gone, "host", "left"), "wrappers")
 
 
@@ -303,7 +316,7 @@ def main_text(pages: DataFrame, config: WrapperConfig = WrapperConfig()) -> Data
                     name_reference(seeds[host][0])
                 tree = parse(page)
                 align(tree, seeds[host][0])
-                texts.append(extract(tree, slot, seeds[host][1]))
+                texts.append(extract(tree, slot, seeds[host][1], config.cover))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

@@ -123,6 +123,15 @@ def test_extraction(spark):
     assert html_extract.op6(pages).count() == len(rows) and html_extract.op6(pages.limit(0)).collect() == []
 
 
+def test_extraction_keeps_parents_and_siblings(spark):
+    page = '<body><nav>Home</nav><article><h1 class="related">Title {0}</h1><p>lead {0}</p><div class=body><p>long body text {0} {0} {0}</p></div><section class=more><p>more {0}</p></section></article></body>'
+    rows = [(i, "http://h/a", page.format(f"n{i} " + "y" * (i + 3))) for i in range(9)] + [(50, "http://one/", page.format("z"))]
+    out = {r.page_id: r.text for r in html_extract.op6(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    v = "n3 yyyyyy"
+    assert out[3] == f"Title {v}\n\nlead {v}\n\nlong body text {v} {v} {v}\n\nmore {v}"
+    assert out[50] == "Title z\n\nlead z\n\nlong body text z z z\n\nmore z"
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = {r.page_id: r.html for r in pages.collect()}
