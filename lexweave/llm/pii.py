@@ -1,17 +1,19 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Every value
-found is a protected entity. Over the corpus, lines are the unit of co-occurrence: with N lines
-with a term, n(e) holding entity e, n(t) holding term t and n(t,e) holding both, a term discloses
-the share
+found is a protected entity, and so are the group it belongs to (mail domain, network, card issuer,
+dialling code) and its kind, which score the values that are too rare by themselves. Lines are a
+window of co-occurrence, for values and groups whole texts are a second one: with N windows, n(e)
+holding entity e, n(t) holding term t and n(t,e) holding both, a term discloses the share
 
     ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e))
 
-of the entity's information (1: the term determines the entity). An entity and term that meet in at
-least `support` different lines and share at least `disclosure` make the term revealing; its
-occurrences are added as spans of kind `term` wherever it occurs, and are generalised to <TERM>
-where the base spans are generalised to <EMAIL>, <IP>, <CARD> and <PHONE>. Copies of a line
-support nothing, so copied documents do not make their rare words revealing.
+of the entity's information (1: the term determines the entity). An entity and term that meet for at
+least `support` different lines of the entity (all of its lines if there are two) and share at least
+`disclosure` make the term revealing; its occurrences are added as spans of kind `term` wherever it
+occurs, and are generalised to <TERM> where the base spans are generalised to <EMAIL>, <IP>, <CARD>
+and <PHONE>. Copies of a line support nothing, so copied documents do not make their rare words
+revealing. Terms of fewer than `min_letters` letters are never revealing.
 
 Only DataFrame functions are used. Counts of terms are combined before each shuffle; revealing
 terms and the texts that hold them are joined by key, without collecting either.
@@ -48,7 +50,7 @@ TERM_SPLIT = r"[^\p{L}]+"
 class DisclosureLimits:
     support: int = 3
     disclosure: float = 0.9
-    min_letters: int = 4
+    min_letters: int = 3
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -93,26 +95,70 @@ def _terms(line: Column, limits: DisclosureLimits) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(line), TERM_SPLIT, -1), lambda x: F.length(x) >= limits.min_letters))
 
 
+def _entities(x: Column) -> list[Column]:
+    """The value, the group it belongs to (domain, network, issuer, dialling code) and its kind."""
+    kind, value = x["kind"], x["value"]
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    group = F.when(kind == "email", F.lower(F.substring_index(value, "@", -1))).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    return [F.concat_ws(":", kind, value), F.concat_ws("~", kind, group), kind]
+
+
+def _shares(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
+    """term, disclosure of pairs(term, n_e, n_te) under counts(term, n_t) and total(n_all)."""
+    share = F.log(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n_all") / F.col("n_e"))
+    return pairs.join(counts, "term").join(F.broadcast(total)).filter(F.col("n_all") > F.col("n_e")).select("term", share.alias("disclosure"))
+
+
 def revealing_terms(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) -> DataFrame:
     """term, disclosure: terms that reveal some protected entity of docs(text)."""
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    hint = F.col("line").rlike(r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}")
-    held = base_spans(lines.filter(hint), "line")
+    rule = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
+    hinted = docs.filter(F.col("text").rlike(rule)).select(*text_key(F.col("text")), F.explode(F.split("text", "\n", -1)).alias("line"))
+    held = base_spans(hinted.filter(F.col("line").rlike(rule)), "line")
     held = held.withColumn("_all", F.concat(*[f"_{k}" for k in PATTERNS]))
     # terms are taken from the line without its base spans
     bare = F.aggregate(F.col("_all"), F.col("line"), lambda a, x: F.replace(a, x["value"], F.lit(" ")))
-    held = materialize(held.select(F.xxhash64("line").alias("line"), F.array_distinct(F.transform("_all", lambda x: F.concat_ws(":", x["kind"], x["value"]))).alias("entities"), _terms(bare, limits).alias("terms")), "entity-lines").filter(F.size("entities") > 0)
-    by_entity = held.select("line", F.explode("entities").alias("entity"), "terms")
-    known = by_entity.groupBy("entity").agg(F.count("*").alias("n_e"), F.min("line").alias("_lo"), F.max("line").alias("_hi"))
-    # an entity seen in one line alone (or its copies) cannot reach the support
-    known = known.filter((F.col("n_e") >= limits.support) & (F.col("_lo") != F.col("_hi"))).select("entity", "n_e")
-    pairs = by_entity.join(known, "entity").select("entity", "n_e", "line", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term", "line").agg(F.count("*").alias("c")).groupBy("entity", "n_e", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("d")).filter(F.col("d") >= limits.support)
-    pairs = materialize(pairs.select("term", "n_e", "n_te").groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "term-pairs")
+    names = F.array_distinct(F.flatten(F.transform("_all", lambda x: F.array(*_entities(x)))))
+    held = materialize(held.select("_k1", "_k2", F.xxhash64("line").alias("line"), names.alias("entities"), _terms(bare, limits).alias("terms")), "entity-lines")
+    by_entity = held.filter(F.size("entities") > 0).select("_k1", "_k2", "line", F.explode("entities").alias("entity"), "terms")
+    known = by_entity.groupBy("entity", "line").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("lines"))
+    # an entity seen in one line alone (or its copies) has no support of its own; its group and its kind do
+    known = materialize(known.filter(F.col("lines") > 1).select("entity", "n_e", F.least(F.lit(limits.support), "lines").alias("need")), "entities")
+    kind = F.col("entity").isin(*PATTERNS)
+    near = by_entity.filter(~kind).join(known, "entity")
+    both = near.select("entity", "n_e", "need", "line", "terms").unionByName(by_entity.filter(kind).join(F.broadcast(known.filter(kind)), "entity").select("entity", "n_e", "need", "line", "terms"))
+    pairs = both.select("entity", "n_e", "need", "line", F.explode("terms").alias("term")).groupBy("entity", "n_e", "need", "term", "line").agg(F.count("*").alias("c")).groupBy("entity", "n_e", "need", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("d")).filter(F.col("d") >= F.col("need"))
+    pairs = materialize(pairs.groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "term-pairs")
     counts = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(_terms(F.col("line"), limits)).alias("term"))
     counts = counts.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n_all"))
-    share = F.log(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n_all") / F.col("n_e"))
-    return pairs.join(counts, "term").join(F.broadcast(total)).filter(F.col("n_all") > F.col("n_e")).select("term", share.alias("disclosure")).filter(F.col("disclosure") >= limits.disclosure).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    found = _shares(pairs, counts, total).unionByName(_by_document(docs, hinted.filter(~F.col("line").rlike(rule)), held, near, limits))
+    return found.filter(F.col("disclosure") >= limits.disclosure).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _by_document(docs: DataFrame, plain: DataFrame, held: DataFrame, near: DataFrame, limits: DisclosureLimits) -> DataFrame:
+    """term, disclosure with the text as the window, for values and groups.
+
+    Support takes as many different texts, and different lines that hold the entity: neither the lines
+    of one text nor near copies around the same line make its rare words revealing."""
+    key = ["_k1", "_k2"]
+    several = near.groupBy("entity").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a <> b").select("entity")
+    sites = materialize(near.select(*key, "entity", "need", "line").join(several, "entity").select(*key, F.xxhash64("entity").alias("entity"), "need", "line").distinct(), "entity-texts")
+    texts = materialize(sites.select(*key).distinct(), "texts")
+    small = F.broadcast(texts) if texts.count() <= 1 << 20 else texts  # 16 bytes each; the other side is whole lines
+    copies = docs.select(*text_key(F.col("text"))).join(texts, key).groupBy(*key).agg(F.count("*").alias("copies"))
+    known = sites.select("entity", *key).distinct().join(copies, key).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    terms = materialize(held.select(*key, F.explode("terms").alias("term")).unionByName(plain.join(small, key, "left_semi").select(*key, F.explode(_terms(F.col("line"), limits)).alias("term"))).distinct(), "text-terms")
+    met = sites.join(terms, key)
+    # two different texts and lines at least: a cheap test that leaves few pairs for the exact counts
+    ends = [f(c).alias(f"{n}{c}") for c in ("_k1", "line") for n, f in (("lo", F.min), ("hi", F.max))]
+    likely = materialize(met.groupBy("entity", "term").agg(*ends).filter("lo_k1 <> hi_k1 AND loline <> hiline").select("entity", "term"), "likely-pairs")
+    met = met.join(likely, ["entity", "term"], "left_semi")
+    support = lambda *by: met.select("entity", "need", "term", *by).distinct().groupBy("entity", "need", "term").agg(F.count("*").alias("d")).filter(F.col("d") >= F.col("need")).select("entity", "term")
+    lines = support("line").join(support(*key), ["entity", "term"])
+    n = met.select(*key, "entity", "term").distinct().join(lines, ["entity", "term"]).join(copies, key).groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
+    pairs = materialize(n.join(known, "entity").groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "text-pairs")
+    counts = docs.select(F.explode(_terms(F.col("text"), limits)).alias("term")).join(F.broadcast(pairs.select("term").distinct()) if pairs.count() < 100_000 else pairs.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    return _shares(pairs, counts, docs.agg(F.count("*").alias("n_all")))
 
 
 def find(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) -> DataFrame:

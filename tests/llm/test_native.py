@@ -86,6 +86,15 @@ def test_pii_terms_that_reveal(spark, edge):
     assert clean[50] == "plain words about other things " + clean[50][-2:]
 
 
+def test_pii_rare_entities_reveal(spark, edge):
+    fill = [f"plain words about other things {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [f"ask Zed at anna@corp.example on {x}" for x in ("monday", "friday")]  # a value in two lines, a name of three letters
+    texts += [f"Quillfeather signs\nwrite p{i}@guild.example for {x}" for i, x in enumerate(("bread", "salt", "wine"))]  # each value once, a name on the line before
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(texts + fill)] + [(900, "Zed met Quillfeather", "en", "s", 0)]
+    got = {r.doc_id: r.spans for r in pii.op4(spark.createDataFrame(rows, edge.schema)).collect()}
+    assert got[900] == "term:0:3,term:8:20" and got[100] == ""
+
+
 def test_pii_copies_reveal_nothing(spark, edge):
     rows = [(i, "write to anna@corp.example about projectzephyr", "en", "s", 0) for i in range(50)]
     rows += [(100 + i, f"other {i}", "en", "s", 0) for i in range(50)]
