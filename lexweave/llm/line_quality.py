@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, digit runs to 0, white space runs to one space, trimmed)
 and hashed. A line is boilerplate on a host (`source`) when more than
-max(min_docs, share x documents of the host) different texts of that host hold it; exact copies
-of a text count as one document, as whole-document duplication is not boilerplate. Boilerplate
+max(min_docs, share x different texts of the host) different texts of that host hold it; exact copies
+of a text count as one document on both sides, as whole-document duplication is not boilerplate. Boilerplate
 lines are removed, and a document is rejected as depleted when fewer than `min_words` words, or
 less than `min_left` of its words, remain.
 
@@ -81,7 +81,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> tuple[DataFrame, DataFrame]:
     """docs(text, host) without nulls. Returns (host, line) of the boilerplate lines, and their
     occurrences (host, _k1, _k2, line, n), the latter written to the shared folder."""
-    top = docs.groupBy("host").agg(F.count("*").alias("_docs")).select("host", F.greatest(F.lit(float(limits.min_docs)), F.col("_docs") * limits.share).alias("_top"))
+    texts = docs.select("host", *text_key(F.col("text"))).distinct()
+    top = texts.groupBy("host").agg(F.count("*").alias("_docs")).select("host", F.greatest(F.lit(float(limits.min_docs)), F.col("_docs") * limits.share).alias("_top"))
     lines = _lines(docs)
     often = lines.groupBy("host", "line").agg(F.count("*").alias("_n")).filter(F.col("_n") > limits.min_docs).join(top, "host").filter(F.col("_n") > F.col("_top")).select("host", "line", "_top")
     held = materialize(lines.join(often, ["host", "line"]).groupBy("host", "line", "_k1", "_k2", "_top").agg(F.sum("n").alias("n"), F.count("*").alias("_rows")), "frequent-lines")

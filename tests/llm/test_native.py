@@ -146,3 +146,10 @@ def test_depleted_documents_are_rejected(spark, edge):
     assert not got[0].kept and not got[0].base_failed and got[99].kept and got[99].removed_words == 10
     clean = {r.doc_id: r.clean_text for r in line_quality.without_boilerplate(docs).collect()}
     assert clean[3] == "unique da words"
+
+
+def test_copies_do_not_raise_the_limit(spark, edge):
+    line = "Home Page of the shop with many good offers today"
+    rows = [(i, f"{line}\nunique {chr(97 + i % 26)}{chr(97 + i // 26)} words", "en", "h", 0) for i in range(40)] + [(100 + i, "one text that is copied very often", "en", "h", 0) for i in range(3000)]
+    got = {r.doc_id: r for r in line_quality.op8(spark.createDataFrame(rows, edge.schema)).collect()}
+    assert got[0].removed_words == 10 and not got[0].kept and got[100].removed_words == 0
