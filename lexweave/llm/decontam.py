@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import ship_package
+from lexweave.session import materialize, ship_package
 
 WINDOW = 10
 #: Test text that one automaton may hold; a larger benchmark is scanned in blocks of this size.
@@ -111,7 +111,8 @@ def _items(benchmark: DataFrame) -> tuple[list[tuple[str, str | None]], str]:
     return items, hashlib.sha256(repr(sorted(items, key=repr)).encode()).hexdigest()
 
 
-def _scan_block(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _scan_block(docs: DataFrame, benchmark: DataFrame, window: int, numbered: bool = False) -> DataFrame:
+    """Results of each row of docs, beside its columns other than text."""
     spark = docs.sparkSession
     items, digest = _items(benchmark)
     shared = spark.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text, checked above
@@ -120,31 +121,35 @@ def _scan_block(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame
         w = _windows(digest, shared.value, window)
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b["text"]:
                 n, hit, names, _ = w.scan(text)
                 spans = byte_spans(text, hit) if len(hit) else []
-                out.append((doc_id, n, hit.tolist(), sorted(names), [f"{a}:{z}" for a, z in spans]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "hits", "items", "spans"])
+                out.append((n, hit.tolist(), sorted(names), [f"{a}:{z}" for a, z in spans]))
+            got = pd.DataFrame(out, columns=["n_words", "hits", "items", "spans"], index=b.index)
+            yield pd.concat([b[keys], got], axis=1)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, hits array<long>, items array<string>, spans array<string>")
+    keys = [c for c in ("_row", "doc_id") if c == "doc_id" or numbered]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    return docs.select(*keys, "text").mapInPandas(run, f"{kinds}, n_words long, hits array<long>, items array<string>, spans array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans (byte spans start:end of the original), one row per row of docs.
 
-    A benchmark above BLOCK_BYTES is scanned block by block and the hit words of a document
-    are united; such documents are then told apart by doc_id.
+    A benchmark above BLOCK_BYTES is scanned block by block and the hit words of a row are united.
+    Rows are numbered first, in a copy in the shared folder, so that equal or null doc_ids stay apart.
     """
     ship_package(docs.sparkSession)
-    parts = [_scan_block(docs, b, window) for b in _blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "spans")
+    blocks = _blocks(benchmark)
+    if len(blocks) == 1:
+        return _scan_block(docs, benchmark, window).select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "spans")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "numbered-rows")
+    parts = [_scan_block(rows, b, window, numbered=True) for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.size(flat("hits")).cast("long").alias("n_hit"), flat("items").alias("items"), flat("spans").alias("spans"))
+    return every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(flat("hits")).cast("long").alias("n_hit"), flat("items").alias("items"), flat("spans").alias("spans")).drop("_row")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -56,6 +56,15 @@ def test_decontamination(spark, corpus, edge, empty, clash, monkeypatch):
     assert got(decontam.op9(docs.dropDuplicates(["doc_id"]), bench)) == want
 
 
+def test_decontamination_in_blocks_keeps_rows(spark, clash, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item number{i} holds some words of its own") for i in range(20)], "item_id long, text string")
+    rows = [(1, "item number3 holds some words of its own"), (1, "nothing here"), (None, "x item number5 holds some words of its own y"), (None, None), (1, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_hits(rows, [(r.item_id, r.text) for r in bench.collect()])
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    assert got(decontam.op9(clash(docs).withColumn("_row", docs.doc_id), bench)) == want and len(want) == 5
+
+
 def test_hit_spans_point_into_the_original():
     w = decontam.Windows([("a", "One two, three")])
     text = "é: ONE--two three; four one two"
