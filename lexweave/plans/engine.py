@@ -56,10 +56,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _expand(spark: SparkSession, sf_dir: str, how: alignment.Search) -> DataFrame:
     cues = _cues(spark, sf_dir).withColumn("text", script(F.col("text")))
     entries = _entries(spark, sf_dir)
-    # a term is stable for a conversation whose number its hash shares: about one in four
-    stable = cues.select("doc_id", "cue_index", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("k")).filter("doc_id % 4 = k")
-    keyed = entries.select((F.col("seq") % 4).cast("int").alias("k"), F.col("term").alias("entity"))
-    return alignment.expand(cues, stable.join(keyed, "k").drop("k"), entries, phonetic.han_readings(spark), how)
+    # the tables confirm no terms: every term counts as stable at every cue
+    stable = cues.select("doc_id", "cue_index").crossJoin(F.broadcast(entries.select(F.col("term").alias("entity"))))
+    return alignment.expand(cues, stable, entries, phonetic.han_readings(spark), how)
 
 
 @query()

@@ -92,3 +92,12 @@ def test_sounds_like(spark, readings):
 
 def test_simplified(spark):
     assert spark.createDataFrame([("龍馬還臺灣",)], "t string").select(phonetic.simplified(spark, F.col("t"))).first()[0] == "龙马还台湾"
+
+
+def test_expansion_sees_every_cue_and_term(spark, monkeypatch):
+    from lexweave.plans import engine
+
+    monkeypatch.setattr(A, "expand", lambda cues, stable, *a: stable)
+    sf = "/root/testdata/sf0.001"
+    got = engine.expand_local_term(spark, sf).distinct().count()
+    assert got == engine._cues(spark, sf).select("doc_id", "cue_index").distinct().count() * engine._entries(spark, sf).select("term").distinct().count()
