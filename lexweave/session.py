@@ -33,10 +33,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one on a local master; on
+    a cluster that is an error, as executors would write to disks of their own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(sc, "_lexweave_scratch", None) or tempfile.mkdtemp(prefix="lexweave-checkpoint-")
         sc._lexweave_scratch = folder
     if sc.getCheckpointDir() is None:
@@ -44,14 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage durably."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage durably.
+
+    Tables live as long as a result that reads them may be asked for; release() deletes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has written by materialize(). Frames that read them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
