@@ -2,13 +2,14 @@
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Every value
 found is a protected entity, and so are the group it belongs to (mail domain, network, card issuer,
-dialling code) and its kind, which score the values that are too rare by themselves. Lines are a
-window of co-occurrence, for values and groups whole texts are a second one: with N windows, n(e)
-holding entity e, n(t) holding term t and n(t,e) holding both, a term discloses the share
+dialling code) and its kind, which score the values that are too rare by themselves. The window of
+co-occurrence is the line that holds the value; for values and groups the lines before and after it,
+if they hold no value, are a second one. With N lines, n(e) windows of entity e, n(t) lines holding
+term t and n(t,e) windows of e holding t, a term discloses the share
 
     ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e))
 
-of the entity's information (1: the term determines the entity). An entity and term that meet for at
+of the entity's information (1: the term determines the entity). An entity and term that meet around at
 least `support` different lines of the entity (all of its lines if there are two) and share at least
 `disclosure` make the term revealing; its occurrences are added as spans of kind `term` wherever it
 occurs, and are generalised to <TERM> where the base spans are generalised to <EMAIL>, <IP>, <CARD>
@@ -25,6 +26,7 @@ are each reported; an empty table gives an empty result; spans are code points,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +46,10 @@ PATTERNS = {
 #: A text can hold a match only if it matches this.
 _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM_SPLIT = r"[^\p{L}]+"
+_NO_SPANS = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int,value:string>>)"
+#: Elements of an array worked on at once; rows of a small table that may be broadcast (some 100 bytes each).
+_BLOCK = 256
+_BROADCAST_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +70,16 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Running op(...) of an array, op associative with zero. Works in blocks of _BLOCK elements, so that
+    what is copied grows as n ** 1.5 at most."""
+    plain = lambda x, at: F.aggregate(x, F.array(at), lambda a, v: F.concat(a, F.array(op(F.element_at(a, -1), v))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+    ahead = plain(F.transform(blocks, lambda x: F.aggregate(x, zero, op)), zero)
+    long = F.flatten(F.zip_with(blocks, F.slice(ahead, F.lit(1), F.size(blocks)), lambda x, at: F.slice(plain(x, at), F.lit(2), F.lit(_BLOCK))))
+    return F.when(F.size(values) > _BLOCK, long).otherwise(F.slice(plain(values, zero), F.lit(2), F.greatest(F.size(values), F.lit(0))))
+
+
 def add_spans(df: DataFrame, text: str, kind: str, pattern: Column | str, out: str, when: Column | None = None) -> DataFrame:
     """Adds out: array of (start, rank, kind, end, value) of the matches of pattern, valid ones only.
 
@@ -76,11 +92,12 @@ def add_spans(df: DataFrame, text: str, kind: str, pattern: Column | str, out: s
     has = F.regexp_like(text, regex) if when is None else when & F.regexp_like(text, regex)
     df = df.withColumn("_m", F.when(has, found))
     df = df.withColumn("_n", F.when(F.size("_m") > 0, F.zip_with("_m", F.slice(F.split(text, regex, -1), F.lit(1), F.size("_m")), lambda m, g: F.struct((F.length(g) + F.length(m)).alias("both"), F.length(m).alias("own")))))
-    df = df.withColumn("_e", F.aggregate("_n", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["both"]))))
+    df = df.withColumn("_b", F.col("_n.both"))
+    df = df.withColumn("_e", F.when(F.col("_b").isNotNull(), running(F.col("_b"), lambda x, y: x + y, F.lit(0))))
     rank = KINDS.index(kind)
-    spans = F.zip_with("_m", F.zip_with(F.slice("_e", F.lit(2), F.size("_n")), "_n", lambda e, n: F.struct((e - n["own"]).alias("s"), e.alias("e"))), lambda m, p: F.struct(p["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["e"].alias("end"), m.alias("value")))
+    spans = F.zip_with("_m", F.zip_with("_e", "_n", lambda e, n: F.struct((e - n["own"]).alias("s"), e.alias("e"))), lambda m, p: F.struct(p["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["e"].alias("end"), m.alias("value")))
     spans = F.filter(spans, lambda x: _valid(kind, x["value"]))
-    return df.withColumn(out, F.coalesce(spans, F.expr("array()").cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>"))).drop("_m", "_n", "_e")
+    return df.withColumn(out, F.coalesce(spans, F.expr(_NO_SPANS))).drop("_m", "_n", "_b", "_e")
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,70 +120,54 @@ def _entities(x: Column) -> list[Column]:
     return [F.concat_ws(":", kind, value), F.concat_ws("~", kind, group), kind]
 
 
-def _shares(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
-    """term, disclosure of pairs(term, n_e, n_te) under counts(term, n_t) and total(n_all)."""
-    share = F.log(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n_all") / F.col("n_e"))
-    return pairs.join(counts, "term").join(F.broadcast(total)).filter(F.col("n_all") > F.col("n_e")).select("term", share.alias("disclosure"))
-
-
 def revealing_terms(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) -> DataFrame:
     """term, disclosure: terms that reveal some protected entity of docs(text)."""
     rule = r"@|[0-9]\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
-    hinted = docs.filter(F.col("text").rlike(rule)).select(*text_key(F.col("text")), F.explode(F.split("text", "\n", -1)).alias("line"))
-    held = base_spans(hinted.filter(F.col("line").rlike(rule)), "line")
+    d = docs.filter(F.col("text").rlike(rule)).select(F.split("text", "\n", -1).alias("_l"))
+    around = lambda i: F.concat_ws("\n", *[F.when(~F.get("_l", i + k).rlike(rule), F.get("_l", i + k)) for k in (-1, 1)])
+    sites = F.filter(F.transform("_l", lambda x, i: F.when(x.rlike(rule), F.struct(x.alias("line"), around(i).alias("near")))), lambda x: x.isNotNull())
+    held = base_spans(d.select(F.explode(sites).alias("_x")).select("_x.line", "_x.near"), "line")
     held = held.withColumn("_all", F.concat(*[f"_{k}" for k in PATTERNS]))
-    # terms are taken from the line without its base spans
-    bare = F.aggregate(F.col("_all"), F.col("line"), lambda a, x: F.replace(a, x["value"], F.lit(" ")))
+    # terms are taken from the line without its base spans, of which e-mail addresses alone hold letters
+    bare = F.regexp_replace("line", PATTERNS["email"], " ")
     names = F.array_distinct(F.flatten(F.transform("_all", lambda x: F.array(*_entities(x)))))
-    held = materialize(held.select("_k1", "_k2", F.xxhash64("line").alias("line"), names.alias("entities"), _terms(bare, limits).alias("terms")), "entity-lines")
-    by_entity = held.filter(F.size("entities") > 0).select("_k1", "_k2", "line", F.explode("entities").alias("entity"), "terms")
-    known = by_entity.groupBy("entity", "line").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("lines"))
+    held = held.select(F.xxhash64("line").alias("line"), names.alias("entities"), _terms(bare, limits).alias("terms"), _terms(F.col("near"), limits).alias("near"))
+    held = materialize(held.withColumn("near", F.when(F.size("entities") > 0, F.col("near"))), "entity-lines")
+    own = held.filter(F.size("entities") > 0).select("line", F.explode("entities").alias("entity"), "terms")
+    beside = held.filter(F.size("near") > 0).select("line", F.explode("entities").alias("entity"), F.col("near").alias("terms")).filter(~F.col("entity").isin(*PATTERNS))
+    met = own.unionByName(beside.withColumn("entity", F.concat(F.lit("beside "), "entity")))
+    known = met.groupBy("entity", "line").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("lines"))
     # an entity seen in one line alone (or its copies) has no support of its own; its group and its kind do
     known = materialize(known.filter(F.col("lines") > 1).select("entity", "n_e", F.least(F.lit(limits.support), "lines").alias("need")), "entities")
-    kind = F.col("entity").isin(*PATTERNS)
-    near = by_entity.filter(~kind).join(known, "entity")
-    both = near.select("entity", "n_e", "need", "line", "terms").unionByName(by_entity.filter(kind).join(F.broadcast(known.filter(kind)), "entity").select("entity", "n_e", "need", "line", "terms"))
-    pairs = both.select("entity", "n_e", "need", "line", F.explode("terms").alias("term")).groupBy("entity", "n_e", "need", "term", "line").agg(F.count("*").alias("c")).groupBy("entity", "n_e", "need", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("d")).filter(F.col("d") >= F.col("need"))
-    pairs = materialize(pairs.groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "term-pairs")
-    counts = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(_terms(F.col("line"), limits)).alias("term"))
-    counts = counts.groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = met.join(_sized(known.select("entity")), "entity", "left_semi").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter("n_te > 1")
+    pairs = materialize(pairs.join(_sized(known), "entity").filter(F.col("n_te") >= F.col("need")), "term-pairs")
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    counts = lines.select(F.explode(_terms(F.col("line"), limits)).alias("term")).join(_sized(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n_all"))
-    found = _shares(pairs, counts, total).unionByName(_by_document(docs, hinted.filter(~F.col("line").rlike(rule)), held, near, limits))
-    return found.filter(F.col("disclosure") >= limits.disclosure).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-
-
-def _by_document(docs: DataFrame, plain: DataFrame, held: DataFrame, near: DataFrame, limits: DisclosureLimits) -> DataFrame:
-    """term, disclosure with the text as the window, for values and groups.
-
-    Support takes as many different texts, and different lines that hold the entity: neither the lines
-    of one text nor near copies around the same line make its rare words revealing."""
-    key = ["_k1", "_k2"]
-    several = near.groupBy("entity").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).filter("a <> b").select("entity")
-    sites = materialize(near.select(*key, "entity", "need", "line").join(several, "entity").select(*key, F.xxhash64("entity").alias("entity"), "need", "line").distinct(), "entity-texts")
-    texts = materialize(sites.select(*key).distinct(), "texts")
-    small = F.broadcast(texts) if texts.count() <= 1 << 20 else texts  # 16 bytes each; the other side is whole lines
-    copies = docs.select(*text_key(F.col("text"))).join(texts, key).groupBy(*key).agg(F.count("*").alias("copies"))
-    known = sites.select("entity", *key).distinct().join(copies, key).groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    terms = materialize(held.select(*key, F.explode("terms").alias("term")).unionByName(plain.join(small, key, "left_semi").select(*key, F.explode(_terms(F.col("line"), limits)).alias("term"))).distinct(), "text-terms")
-    met = sites.join(terms, key)
-    # two different texts and lines at least: a cheap test that leaves few pairs for the exact counts
-    ends = [f(c).alias(f"{n}{c}") for c in ("_k1", "line") for n, f in (("lo", F.min), ("hi", F.max))]
-    likely = materialize(met.groupBy("entity", "term").agg(*ends).filter("lo_k1 <> hi_k1 AND loline <> hiline").select("entity", "term"), "likely-pairs")
-    met = met.join(likely, ["entity", "term"], "left_semi")
-    support = lambda *by: met.select("entity", "need", "term", *by).distinct().groupBy("entity", "need", "term").agg(F.count("*").alias("d")).filter(F.col("d") >= F.col("need")).select("entity", "term")
-    lines = support("line").join(support(*key), ["entity", "term"])
-    n = met.select(*key, "entity", "term").distinct().join(lines, ["entity", "term"]).join(copies, key).groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
-    pairs = materialize(n.join(known, "entity").groupBy("term", "n_e", "n_te").agg(F.count("*").alias("entities")), "text-pairs")
-    counts = docs.select(F.explode(_terms(F.col("text"), limits)).alias("term")).join(F.broadcast(pairs.select("term").distinct()) if pairs.count() < 100_000 else pairs.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    return _shares(pairs, counts, docs.agg(F.count("*").alias("n_all")))
+    together = F.least("n_te", "n_t")  # a line between two lines of an entity is beside it twice
+    share = F.log(together * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n_all") / F.col("n_e"))
+    likely = pairs.join(counts, "term").join(F.broadcast(total)).filter(F.col("n_all") > F.col("n_e")).select("entity", "term", "need", share.alias("disclosure"))
+    likely = materialize(likely.filter(F.col("disclosure") >= limits.disclosure), "likely-terms")
+    # few are left: their support is counted by different lines
+    sure = met.join(_sized(likely.select("entity").distinct()), "entity", "left_semi").select("entity", "line", F.explode("terms").alias("term")).join(_sized(likely), ["entity", "term"])
+    sure = sure.select("entity", "term", "need", "disclosure", "line").distinct().groupBy("entity", "term", "need", "disclosure").agg(F.count("*").alias("d")).filter(F.col("d") >= F.col("need"))
+    return sure.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _sized(side: DataFrame) -> DataFrame:
+    """side, to be broadcast if it has few rows; its rows are a few short values each."""
+    side = side if side.inputFiles() else materialize(side, "side")
+    return F.broadcast(side) if side.count() <= _BROADCAST_ROWS else side
 
 
 def find(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) -> DataFrame:
     """docs (text null: empty) with _email, _ip, _card, _phone and _term: arrays of spans."""
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     reveal = materialize(revealing_terms(d.select("text"), limits), "revealing-terms")
+    if reveal.isEmpty():
+        return base_spans(d).withColumn("_term", F.expr(_NO_SPANS))
     k1, k2 = text_key(F.col("text"))
-    held = d.select(k1, k2, F.explode(_terms(F.col("text"), limits)).alias("term")).join(reveal.select("term"), "term").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("term")).alias("_terms"))  # terms of one text
+    held = d.select(k1, k2, F.explode(_terms(F.col("text"), limits)).alias("term")).join(_sized(reveal.select("term")), "term").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("term")).alias("_terms"))  # terms of one text
     d = base_spans(d).withColumns({"_k1": k1, "_k2": k2}).join(held, ["_k1", "_k2"], "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
     return add_spans(d, "text", "term", pattern, "_term", F.col("_terms").isNotNull()).drop("_k1", "_k2", "_terms")
@@ -182,10 +183,18 @@ def sanitise(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) ->
     A null text stays null."""
     names = docs.columns
     d = find(docs.withColumn("_null", F.col("text").isNull()), limits).withColumn("_all", F.sort_array(F.concat(*[f"_{k}" for k in KINDS])))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("parts"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["parts"].alias("parts")))
-    done = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    text = F.when(F.col("_null"), F.lit(None)).when(F.size("_all") == 0, F.col("text")).otherwise(F.aggregate("_all", start, step, done))
+    d = d.withColumn("_ends", F.col("_all.end"))
+    d = d.withColumn("_top", running(F.col("_ends"), lambda x, y: F.greatest(x, y), F.lit(0)))
+    heads = F.transform("_all", lambda x, i: F.struct(F.coalesce(F.get("_top", i - 1), F.lit(0)).alias("a"), x["start"].alias("z"), x["kind"].alias("kind")))
+    d = d.withColumn("_heads", F.filter(heads, lambda x: x["z"] >= x["a"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_heads") - 1) / _BLOCK).cast("int")), lambda b: F.slice("_heads", b * _BLOCK + 1, F.lit(_BLOCK)))
+    # the text of a block of spans is cut out once, then the pieces between its spans
+    whole = lambda x: F.struct(x.alias("x"), x[0]["a"].alias("a"), F.substring(F.col("text"), x[0]["a"] + 1, F.element_at(x, -1)["z"] - x[0]["a"]).alias("part"))
+    piece = lambda w, x: F.concat(F.substring(w["part"], x["a"] - w["a"] + 1, x["z"] - x["a"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+    d = d.withColumn("_whole", F.when(F.size("_heads") > 0, F.transform(blocks, whole)))
+    d = d.withColumn("_parts", F.transform("_whole", lambda w: F.array_join(F.transform(w["x"], lambda x: piece(w, x)), "")))
+    done = F.concat(F.array_join("_parts", ""), F.substring(F.col("text"), F.element_at("_top", -1) + 1, F.length("text")))
+    text = F.when(F.col("_null"), F.lit(None)).when(F.size("_heads") > 0, done).otherwise(F.col("text"))
     return d.withColumn("text", text).select(*names)
 
 

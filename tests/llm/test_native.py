@@ -70,6 +70,20 @@ def test_pii_many_matches(spark, edge):
     check_pii(rows, pii.op4(spark.createDataFrame(rows, edge.schema)).collect())
 
 
+def test_pii_with_very_many_matches(spark, edge):
+    make = lambda n: " ".join(f"u{i}@h{i % 7}.org" + ("" if i % 50 else f" 10.0.{i % 300}.1 x") for i in range(n))
+    text = make(100_000)
+    got = pii.base_spans(spark.createDataFrame([(text,)], "text string")).select("_email.start", "_ip.end").first()
+    want = spans(text)
+    assert got[0] == [x[0] for x in want if x[2] == "email"] and got[1] == [x[3] for x in want if x[2] == "ip"]
+    text = make(5_000)
+    at, out = 0, []
+    for a, _, kind, z in spans(text):
+        out += [text[at:a], f"<{kind.upper()}>"]
+        at = z
+    assert pii.sanitise(spark.createDataFrame([(1, text, "en", "s", 0)], edge.schema)).first().text == "".join(out) + text[at:]
+
+
 def revealing_corpus():
     lines = [f"write to anna@corp.example about projectzephyr number {i}x" for i in range(6)]
     lines += [f"plain words about other things {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
