@@ -1,29 +1,28 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-A token is a hash bucket of a lower-cased word. The `top` most frequent buckets of the corpus are
-classes of their own, the others share `rest` classes by hash; a small network predicts the class of
-each token from the classes of the two tokens on either side. Inside a shared class a second level
-predicts the bucket from the same hidden state: a Huffman tree over the class's buckets, with a
-logistic unit at each fork whose bias starts at the corpus share of its two sides. The product is a
-distribution over all buckets. A document's score is the sum of the conditional log-probabilities of
-all its tokens.
-
-Texts are cut into buckets once; two bytes for each token go to the shared folder. Counts cover every
-token of every document, and are summed in each task before they are shuffled; their number is bounded
-by `buckets`. Training covers every token of every document (`stride` 1): each task starts from the
-same weights and takes stochastic gradient steps over its documents; the tasks' weights are then
-averaged with a distributed sum, weighted by their tokens and those of a fork by its own visits. What
-leaves the executors is so a table of `buckets` counts and one set of averaged weights, while what is
-gathered for them grows with the corpus.
-
-Defined results: null or wordless text has n_tokens 0, pll 0 and a null pll_per_token; an empty table
-gives an empty result; repeated rows are scored each; long texts are scored in blocks.
+A token is a lower-cased word, hashed into `fine` buckets; its low 16 bits are its coarse bucket. The
+network sees the coarse buckets of the `window` tokens on either side: embeddings, one matrix for each
+position, and a softmax over `states` hidden states. Each state emits coarse buckets with probabilities
+of its own, so the mixture over the states is a distribution over all buckets without a sum over them;
+inside a coarse bucket a token has its share of the corpus counts. Counts leave out the document that is
+scored, so a word that stands in no other document scores as new, and a document that the corpus holds
+twice scores above one it holds once. A document's score is the sum of the conditional log-probabilities
+of all its tokens.
+
+Training, by expectation maximisation with gradient steps for the network: a warm start on a bounded
+sample of blocks (`warm_tokens`) gives the first weights; then one pass takes every token of every
+document. For it, documents are dealt by hash into shards of some `shard_tokens` tokens, and the order
+in a shard is by hash, so the weights don't depend on how the input is partitioned. Each shard starts from
+the warm weights; embeddings are averaged by visits, matrices by tokens, and the expected counts of the
+states, which become their emissions, are summed. Sums are made in each task before they are shuffled.
+
+Defined results: null or wordless text has n_tokens 0, n_new 0, pll 0 and a null pll_per_token; an empty
+table gives an empty result; repeated rows are scored each (each sees the others); long texts are trained
+and scored in blocks, with their neighbours across the edges.
 """
 
 from __future__ import annotations
 
-import copy
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,35 +33,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.session import materialize, ship_package
+from lexweave.session import materialize, ship_package, shuffle_partitions
 
 _WORD = re.compile(r"\w+")
-_ROWS = 1 << 10
-_HELD = 1 << 16
+_BLOCK = 4096
+_SLICE = 1024
+_END = 0xFFFF  # coarse bucket beside the ends of a text; no word has it
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    buckets: int = 1 << 16
-    top: int = 192
-    rest: int = 63
-    dim: int = 16
+    fine_bits: int = 22
+    states: int = 16
+    dim: int = 8
     window: int = 2
-    stride: int = 1
-    batch: int = 256
-    rate: float = 0.15
+    shard_tokens: int = 1 << 22
+    warm_tokens: int = 1 << 18
+    warm_rounds: int = 4
+    batch: int = 4096
+    rate: float = 0.3
+    prior: float = 2.0
     seed: int = 3
 
-    @property
-    def classes(self) -> int:
-        return self.top + self.rest + 1  # the last stands for the end of a text
-
 
 class _Ids(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        v = self[word] = xxhash.xxh32_intdigest(word)
+        h = xxhash.xxh32_intdigest(word)
+        v = self[word] = h - (h & _END == _END)
         return v
 
 
@@ -70,242 +69,311 @@ _IDS = _Ids()
 
 
 def tokens(text: str | None, config: LmConfig) -> np.ndarray:
+    """Fine bucket of each word. Coarse buckets are their low 16 bits."""
     ids = _IDS
-    return np.array([ids[w] for w in _WORD.findall((text or "").lower())], dtype=np.int64) % config.buckets
-
-
-class Tree:
-    """Second level: for each bucket the forks on its way from the root of its class, and the side taken."""
-
-    def __init__(self, count: np.ndarray, cls: np.ndarray, config: LmConfig):
-        ways: list[list[int]] = [[] for _ in range(len(count))]
-        bias, weight = [], count + 1.0
-        for c in range(config.top, config.top + config.rest):
-            heap = [(float(weight[k]), int(k), [int(k)]) for k in np.flatnonzero(cls == c)]
-            heapq.heapify(heap)
-            while len(heap) > 1:
-                (x, i, left), (y, j, right) = heapq.heappop(heap), heapq.heappop(heap)
-                for side, held in ((0, left), (1, right)):
-                    for k in held:
-                        ways[k].append(2 * len(bias) + side)
-                bias.append(np.log(x / y))
-                heapq.heappush(heap, (x + y, min(i, j), left + right))
-        self.length = np.array([len(w) for w in ways], dtype=np.int64)
-        self.first = np.cumsum(self.length) - self.length
-        self.way = np.array([x for w in ways for x in w], dtype=np.int32)
-        self.forks = np.zeros((len(bias), config.dim + 1), dtype=np.float32)  # vector, bias
-        self.forks[:, -1] = bias
-
-    def ways(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, fork, and +1 or -1 for its side, of every fork on the ways of the buckets."""
-        n = self.length[bucket]
-        row = np.repeat(np.arange(len(bucket)), n)
-        step = self.way[np.arange(len(row)) + np.repeat(self.first[bucket] - (np.cumsum(n) - n), n)]
-        return row, step >> 1, (1 - 2 * (step & 1)).astype(np.float32)
-
-    def logits(self, hidden: np.ndarray, vector: np.ndarray) -> np.ndarray:
-        return np.einsum("nd,nd->n", vector[:, :-1], hidden) + vector[:, -1]
-
-    def logprob(self, hidden: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        row, fork, side = self.ways(bucket)
-        z = side * self.logits(hidden[row], self.forks[fork])
-        return np.bincount(row, weights=-np.logaddexp(0, -z), minlength=len(bucket))
-
-    def step(self, hidden: np.ndarray, bucket: np.ndarray, rate: float, visits: np.ndarray) -> np.ndarray:
-        """One gradient step; returns the step of the hidden state."""
-        row, fork, side = self.ways(bucket)
-        back = np.zeros_like(hidden)
-        if not len(row):
-            return back
-        near, vector = hidden[row], self.forks[fork]
-        g = (-rate * side / (1 + np.exp(np.clip(side * self.logits(near, vector), -30, 30))))[:, None]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        back[row[first]] = np.add.reduceat(g * vector[:, :-1], first, axis=0)
-        order = np.argsort(fork, kind="stable")
-        held = fork[order]
-        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        self.forks[held[first]] -= np.add.reduceat(np.concatenate([g * near, g], axis=1)[order], first, axis=0)
-        visits[held[first]] += np.diff(np.r_[first, len(held)])
-        return back
+    return np.array([ids[w] for w in _WORD.findall((text or "").lower())], dtype=np.uint32) & np.uint32((1 << config.fine_bits) - 1)
+
+
+def _sum_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, the sums of their rows, and their numbers."""
+    order = np.argsort(keys, kind="stable")  # a radix sort: keys take two bytes
+    held = keys[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    return held[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0), np.diff(np.r_[first, len(held)])
 
 
 class Network:
-    """Position-wise class embeddings, tanh of their sum, softmax over classes."""
-
-    def __init__(self, config: LmConfig, flat: np.ndarray | None = None):
-        c, d, k = config.classes, config.dim, 2 * config.window
-        if flat is None:
-            rng = np.random.default_rng(config.seed)
-            flat = np.concatenate([rng.normal(0, 0.3, k * c * d + d * c), np.zeros(c)])
-        self.flat = np.array(flat, dtype=np.float32)
-        self.inner = self.flat[: k * c * d].reshape(k, c, d)
-        self.outer = self.flat[k * c * d : k * c * d + d * c].reshape(d, c)
-        self.bias = self.flat[-c:]
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.inner[i][context[:, i]] for i in range(context.shape[1])))
-
-    def logprob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return self.logprob_of(self.hidden(context), target)
-
-    def logprob_of(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = hidden @ self.outer + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(target)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float, tree: Tree, bucket: np.ndarray, visits: np.ndarray) -> None:
-        h = self.hidden(context)
-        z = h @ self.outer + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        g = np.exp(z, out=z)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(target)), target] -= 1
-        rate /= np.sqrt(len(target))
-        g *= rate
-        back = (g @ self.outer.T + tree.step(h, bucket, rate, visits)) * (1 - h * h)
-        self.outer -= h.T @ g
-        self.bias -= g.sum(axis=0)
-        for i in range(context.shape[1]):
-            order = np.argsort(context[:, i], kind="stable")
-            held = context[order, i]
-            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-            self.inner[i][held[first]] -= np.add.reduceat(back[order], first, axis=0)
-
-
-def contexts(cls: np.ndarray, at: np.ndarray, config: LmConfig) -> np.ndarray:
-    """Classes of the tokens around the places at; beyond the ends the last class."""
+    """Window of embeddings, a matrix for each position, softmax over the states."""
+
+    def __init__(self, config: LmConfig):
+        rng = np.random.default_rng(config.seed)
+        self.emb = rng.normal(0, 0.1, (_END + 1, config.dim)).astype(np.float32)
+        self.inner = rng.normal(0, 0.3, (2 * config.window * config.dim, config.states)).astype(np.float32)
+        self.bias = np.zeros(config.states, dtype=np.float32)
+        self.slow = np.full(_END + 1, 0.01, dtype=np.float32)  # squared steps of each embedding so far
+        self.slow_inner = np.full(1 + 2 * config.window * config.dim, 0.01, dtype=np.float32)
+
+    def copy(self) -> Network:
+        out = object.__new__(Network)
+        out.__dict__ = {k: v.copy() for k, v in self.__dict__.items()}
+        return out
+
+    def gate(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings side by side, and the probabilities of the states."""
+        x = self.emb.take(near, axis=0).reshape(len(near), -1)
+        z = x @ self.inner + self.bias
+        np.exp(np.clip(z, -40, 40, out=z), out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return x, z
+
+    def step(self, near: np.ndarray, x: np.ndarray, g: np.ndarray, config: LmConfig) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient step; g: probabilities of the states less their posterior. Returns the buckets met and how often."""
+        back = (g @ self.inner.T).reshape(-1, config.dim)
+        grad = np.concatenate([g.sum(axis=0)[None], x.T @ g]) / len(g)
+        self.slow_inner += (grad * grad).mean(axis=1) * config.states
+        grad *= (config.rate * 0.3 / np.sqrt(self.slow_inner))[:, None]
+        self.bias -= grad[0]
+        self.inner -= grad[1:]
+        met, total, times = _sum_rows(near.ravel(), back)
+        self.slow[met] += (total * total).mean(axis=1)
+        self.emb[met] -= total * (config.rate * 0.3 / np.sqrt(self.slow[met]))[:, None]
+        return met, times
+
+
+def lay(texts: list[np.ndarray], config: LmConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in one row, ends between them; and the places of their tokens."""
     w = config.window
-    padded = np.concatenate([np.full(w, config.classes - 1), cls, np.full(w, config.classes - 1)])
-    return padded[at[:, None] + np.array([i for i in range(2 * w + 1) if i != w])]
+    gap = np.full(w, _END, dtype=np.uint32)
+    row = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    return row, np.arange(size.sum()) + w * (np.repeat(np.arange(len(texts)), size) + 1)
+
+
+def neighbours(row: np.ndarray, place: np.ndarray, config: LmConfig) -> np.ndarray:
+    w = config.window
+    return (row[place[:, None] + np.array([i for i in range(-w, w + 1) if i])] & _END).astype(np.uint16)
+
+
+class Emissions:
+    """Counts of the buckets, and of the coarse ones by state."""
+
+    def __init__(self, count: np.ndarray, config: LmConfig):
+        self.count = count
+        self.total = float(count.sum())
+        # what new words get follows from how many were seen once
+        self.extra = max(1e-3, float((count == 1).sum()) / len(count))
+        self.mass = self.total + self.extra * len(count)
+        folded = count.reshape(-1, _END + 1).sum(axis=0, dtype=np.float64)
+        self.coarse = ((folded + self.extra * (len(count) >> 16)) / self.mass).astype(np.float64)
+        self.lift = np.ones((_END + 1, config.states), dtype=np.float32)
+
+    def set(self, expected: np.ndarray, config: LmConfig) -> None:
+        """expected: (coarse buckets, states) counts of any scale; lift is emission over corpus share."""
+        held = expected.sum(axis=0, dtype=np.float64)
+        prior = config.prior * self.coarse * len(self.coarse)
+        made = (expected + prior[:, None]) / (held + prior.sum())
+        self.lift = (made / self.coarse[:, None]).astype(np.float32)
 
 
 @dataclass
 class Model:
     config: LmConfig
-    class_of: np.ndarray
-    tree: Tree
     network: Network
+    emissions: Emissions
 
-    def score(self, text: str | None) -> tuple[int, float]:
+    def score(self, text: str | None) -> tuple[int, int, float]:
         return self.scores([tokens(text, self.config)])[0]
 
-    def scores(self, texts: list[np.ndarray]) -> list[tuple[int, float]]:
-        """Tokens and score of each text. Texts stand in one row, with the class of the end between them."""
-        w, end = self.config.window, self.config.classes - 1
-        gap = np.zeros(w, dtype=np.int64)
-        bucket = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+    def scores(self, texts: list[np.ndarray], own: bool = True) -> list[tuple[int, int, float]]:
+        """Tokens, those in no other document, and score of each text. own: the counts hold the text itself."""
+        row, place = lay(texts, self.config)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         which = np.repeat(np.arange(len(texts)), size)
-        place = np.arange(len(which)) + w * (which + 1)
-        cls = np.full(len(bucket), end)
-        cls[place] = self.class_of[bucket[place]]
-        near = np.array([i for i in range(-w, w + 1) if i])
-        total = np.zeros(len(texts))
-        for lo in range(0, len(place), _ROWS):
-            at = place[lo : lo + _ROWS]
-            h = self.network.hidden(cls[at[:, None] + near])
-            got = self.network.logprob_of(h, cls[at]) + self.tree.logprob(h, bucket[at])
-            total += np.bincount(which[lo : lo + _ROWS], weights=got, minlength=len(texts))
-        return list(zip(size.tolist(), total.tolist(), strict=True))
+        e, mine = self.emissions, np.zeros(len(place))
+        if own and len(place):
+            at = 0
+            for t in texts:
+                if len(t):
+                    _, back, n = np.unique(t, return_inverse=True, return_counts=True)
+                    mine[at : at + len(t)] = n[back]
+                    at += len(t)
+        total, new = np.zeros(len(texts)), np.zeros(len(texts))
+        for lo in range(0, len(place), _BLOCK):
+            at, k, doc = place[lo : lo + _BLOCK], mine[lo : lo + _BLOCK], which[lo : lo + _BLOCK]
+            f = row[at]
+            _, p = self.network.gate(neighbours(row, at, self.config))
+            mix = np.einsum("nk,nk->n", p, e.lift.take(f & _END, axis=0))
+            left = np.maximum(e.count[f] - k, 0)
+            got = np.log(mix) + np.log((left + e.extra) / (e.mass - own * size[doc]))
+            total += np.bincount(doc, weights=got, minlength=len(texts))
+            new += np.bincount(doc, weights=left == 0, minlength=len(texts))
+        return list(zip(size.tolist(), new.astype(int).tolist(), total.tolist(), strict=True))
+
+
+def learn(network: Network, emissions: Emissions, row: np.ndarray, place: np.ndarray, expected: np.ndarray, visits: np.ndarray, config: LmConfig) -> None:
+    """One pass over the places: steps of the network, expected counts and visits are added up."""
+    for lo in range(0, len(place), config.batch):
+        at = place[lo : lo + config.batch]
+        near, c = neighbours(row, at, config), (row[at] & _END).astype(np.uint16)
+        x, p = network.gate(near)
+        r = p * emissions.lift.take(c, axis=0)
+        r /= r.sum(axis=1, keepdims=True)
+        met, total, _ = _sum_rows(c, r)
+        expected[met] += total
+        met, times = network.step(near, x, p - r, config)
+        visits[met] += times
+
+
+def warm_start(blocks: list[np.ndarray], emissions: Emissions, config: LmConfig) -> Network:
+    """First weights and emissions from blocks of tokens: clusters of blocks give the first states."""
+    network, rng = Network(config), np.random.default_rng(config.seed)
+    if not blocks:
+        return network
+    bags = [np.unique(b & _END, return_counts=True) for b in blocks]
+    post = rng.dirichlet(np.full(config.states, 0.1), len(blocks))
+    for _ in range(8):  # mixture of bags
+        expected = np.zeros((_END + 1, config.states), dtype=np.float32)
+        for (c, n), q in zip(bags, post, strict=True):
+            expected[c] += n[:, None] * q.astype(np.float32)
+        emissions.set(expected, config)
+        for i, (c, n) in enumerate(bags):
+            z = n @ np.log(emissions.lift[c]) / np.sqrt(n.sum())
+            z = np.exp(z - z.max())
+            post[i] = z / z.sum()
+    order = rng.permutation(len(blocks))
+    for _ in range(config.warm_rounds):
+        expected = np.zeros((_END + 1, config.states), dtype=np.float32)
+        visits = np.zeros(_END + 1, dtype=np.int64)
+        for lo in range(0, len(order), 64):
+            row, place = lay([blocks[i] for i in order[lo : lo + 64]], config)
+            learn(network, emissions, row, rng.permutation(place), expected, visits, config)
+        emissions.set(expected, config)
+    return network
 
 
 def cut(docs: DataFrame, config: LmConfig) -> DataFrame:
-    """doc_id, t: the buckets of each text, two bytes each, in the shared folder."""
-    if config.buckets > 1 << 16:
-        raise ValueError("a bucket takes two bytes")
+    """doc_id, h, t: the buckets of each text, four bytes each, and a hash of row and text; in the shared folder."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "t": [tokens(x, config).astype(np.uint16).tobytes() for x in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "t": [tokens(x, config).tobytes() for x in b["text"]]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, t binary"), "buckets")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    return materialize(keyed.mapInPandas(run, f"doc_id {kind}, h long, t binary"), "buckets")
 
 
 def _read(t: bytes) -> np.ndarray:
-    return np.frombuffer(t, dtype=np.uint16).astype(np.int64)
+    return np.frombuffer(t, dtype=np.uint32)
 
 
-def count_tokens(held: DataFrame, config: LmConfig) -> np.ndarray:
-    """Occurrences of each bucket over all documents."""
+def _sum_slices(parts: DataFrame, dtype: type) -> dict[int, np.ndarray]:
+    """Sums the arrays v of equal k; parts(k int, v binary) are sums of tasks, as many k as slices."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(config.buckets, dtype=np.int64)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            n += np.bincount(_read(b"".join(b["t"])), minlength=config.buckets)
-        has = np.flatnonzero(n)
-        yield pd.DataFrame({"bucket": has.astype(np.int32), "n": n[has]})
+            for k, v in zip(b["k"], b["v"], strict=True):
+                x = np.frombuffer(v, dtype=dtype)
+                held[k] = held[k] + x if k in held else x
+        yield pd.DataFrame({"k": list(held), "v": [x.tobytes() for x in held.values()]}).astype({"k": "int32"})
 
-    rows = held.select("t").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most buckets rows
-    out = np.zeros(config.buckets, dtype=np.int64)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+    got = parts.repartition(shuffle_partitions(parts.sparkSession), "k").mapInPandas(run, "k int, v binary").collect()  # one set of slices
+    return {r.k: np.frombuffer(r.v, dtype=dtype) for r in got}
 
 
-def classes_of(count: np.ndarray, config: LmConfig) -> np.ndarray:
-    """Class of each bucket."""
-    cls = config.top + np.arange(len(count)) % config.rest
-    cls[np.lexsort((np.arange(len(count)), -count))[: config.top]] = np.arange(config.top)
-    return cls
+def count_tokens(held: DataFrame, config: LmConfig) -> np.ndarray:
+    """Occurrences of each fine bucket over all documents."""
+    size = 1 << config.fine_bits
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for lo in range(0, len(b), 4096):
+                n += np.bincount(_read(b"".join(b["t"][lo : lo + 4096])), minlength=size)
+        slices = n.reshape(-1, 1 << 14)
+        has = np.flatnonzero(slices.any(axis=1))
+        for lo in range(0, len(has), 32):
+            yield pd.DataFrame({"k": has[lo : lo + 32].astype(np.int32), "v": [slices[k].tobytes() for k in has[lo : lo + 32]]})
+
+    out = np.zeros((size >> 14, 1 << 14), dtype=np.int64)
+    for k, v in _sum_slices(held.select("t").mapInPandas(run, "k int, v binary"), np.int64).items():
+        out[k] = v
+    return out.ravel()
 
 
-def train(held: DataFrame, class_of: np.ndarray, tree: Tree, config: LmConfig) -> tuple[Network, Tree]:
-    """Averaged weights of both levels; the forks of `tree` are replaced."""
-    shared = held.sparkSession.sparkContext.broadcast((class_of.astype(np.int16), tree))
+def _warm_blocks(held: DataFrame, total: float, config: LmConfig) -> list[np.ndarray]:
+    """Blocks of whole documents chosen by hash, some warm_tokens tokens."""
+    share = min(1.0, config.warm_tokens / max(total, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, cls_of, own = Network(config), shared.value[0].astype(np.int64), copy.copy(shared.value[1])
-        own.forks = own.forks.copy()
-        visits = np.zeros(len(own.forks), dtype=np.int64)
-        rng = np.random.default_rng(config.seed)
-        seen, xs, ys, ts, n = 0, [], [], [], 0
+        for b in batches:
+            out = []
+            for h, t in zip(b["h"], b["t"], strict=True):
+                for lo in range(0, len(t) // 4, _SLICE):
+                    key = xxhash.xxh64_intdigest(f"{h}:{lo}")
+                    if key < share * 2**64:
+                        out.append((key >> 1, t[4 * lo : 4 * (lo + _SLICE)]))
+            yield pd.DataFrame(out, columns=["key", "t"])
+
+    rows = held.select("h", "t").mapInPandas(run, "key long, t binary").collect()  # some warm_tokens tokens
+    return [_read(r.t) for r in sorted(rows, key=lambda r: (r.key, r.t))]
 
-        def learn() -> int:
-            x, y, t = np.concatenate(xs), np.concatenate(ys), np.concatenate(ts)
-            order = rng.permutation(len(y))
-            for lo in range(0, len(y), config.batch):
-                k = order[lo : lo + config.batch]
-                net.step(x[k], y[k], config.rate, own, t[k], visits)
-            return len(y)
+
+def train(held: DataFrame, network: Network, emissions: Emissions, config: LmConfig) -> None:
+    """One pass over all tokens, from the weights given; they are replaced by the averages over the shards."""
+    shards = max(1, round(emissions.total / config.shard_tokens))
+    shared = held.sparkSession.sparkContext.broadcast((network, emissions.lift))
+    d, k = config.dim, config.states
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net, lift = shared.value
+        task = Emissions.__new__(Emissions)
+        task.lift = lift
+        sums = np.zeros((_END + 1, k + d + 1), dtype=np.float64)
+        dense, current, own, visits, pending, size = None, None, None, None, [], 0
+        expected = np.zeros((_END + 1, k), dtype=np.float32)
+
+        def flush() -> None:
+            nonlocal pending, size
+            if pending:
+                row, place = lay(pending, config)
+                order = np.random.default_rng(len(place)).permutation(place)
+                learn(own, task, row, order, expected, visits, config)
+            pending, size = [], 0
+
+        def close() -> None:
+            nonlocal dense
+            flush()
+            n = float(expected.sum())
+            if own is not None and n:
+                sums[:, :k] += expected
+                sums[:, k : k + d] += own.emb * visits[:, None]
+                sums[:, -1] += visits
+                flat = n * np.concatenate([own.inner.ravel(), own.bias, [1.0]])
+                dense = flat if dense is None else dense + flat
 
         for b in batches:
-            for raw in b["t"]:
-                t = _read(raw)
-                cls = cls_of[t]
-                for lo in range(0, len(t), _HELD):
-                    at = np.arange(lo, min(len(t), lo + _HELD), config.stride)
-                    xs.append(contexts(cls, at, config))
-                    ys.append(cls[at])
-                    ts.append(t[at])
-                    n += len(at)
-                    if n >= _HELD:
-                        seen += learn()
-                        xs, ys, ts, n = [], [], [], 0
-        if n:
-            seen += learn()
-        if seen:
-            yield pd.DataFrame({"fork": [-1], "n": [float(seen)], "w": [net.flat]})
-            has = np.flatnonzero(visits)
-        if seen and len(has):
-            yield pd.DataFrame({"fork": has, "n": visits[has].astype(float), "w": list(own.forks[has])})
-
-    found = materialize(held.select("t").mapInPandas(run, "fork int, n double, w array<float>"), "weights")
-    mean = found.filter("fork < 0").select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toPandas()  # one set of weights
-    net = Network(config, mean.sort_values("i")["w"].to_numpy()) if len(mean) else Network(config)
-    each = [(F.sum(F.get("w", F.lit(i)) * F.col("n")) / F.sum("n")).cast("float").alias(f"w{i}") for i in range(config.dim + 1)]
-    forks = found.filter("fork >= 0").groupBy("fork").agg(*each).toPandas()  # one set of forks, less than buckets
-    out = copy.copy(tree)
-    out.forks = tree.forks.copy()
-    out.forks[forks["fork"].to_numpy(dtype=np.int64)] = forks.drop(columns="fork").to_numpy(dtype=np.float32)
-    return net, out
+            for shard, t in zip(b["shard"], b["t"], strict=True):
+                if shard != current:
+                    close()
+                    current, own, visits = shard, net.copy(), np.zeros(_END + 1, dtype=np.int64)
+                    expected[:] = 0
+                x = _read(t)
+                for lo in range(0, len(x), _BLOCK * 16):  # the blocks of a long text see no neighbours across edges here
+                    pending.append(x[lo : lo + _BLOCK * 16])
+                    size += len(pending[-1])
+                    if size >= _BLOCK * 16:
+                        flush()
+        close()
+        if dense is not None:
+            yield pd.DataFrame({"k": np.array([-1], dtype=np.int32), "v": [dense.tobytes()]})
+            for s in range(0, _END + 1, _SLICE):
+                if sums[s : s + _SLICE].any():
+                    yield pd.DataFrame({"k": np.array([s], dtype=np.int32), "v": [sums[s : s + _SLICE].tobytes()]})
+
+    dealt = held.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "t").filter(F.octet_length("t") > 0)
+    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "t")
+    got = _sum_slices(ordered.mapInPandas(run, "k int, v binary"), np.float64)
+    if -1 not in got:
+        return
+    sums = np.zeros((_END + 1, k + d + 1))
+    for s, v in got.items():
+        if s >= 0:
+            sums[s : s + _SLICE] = v.reshape(-1, k + d + 1)
+    emissions.set(sums[:, :k], config)
+    seen = sums[:, -1] > 0
+    network.emb[seen] = (sums[seen, k : k + d] / sums[seen, -1:]).astype(np.float32)
+    flat = got[-1][:-1] / got[-1][-1]
+    network.inner[:] = flat[: network.inner.size].reshape(network.inner.shape)
+    network.bias[:] = flat[network.inner.size :]
 
 
 def _fit(held: DataFrame, config: LmConfig) -> Model:
-    count = count_tokens(held, config)
-    cls = classes_of(count, config)
-    net, tree = train(held, cls, Tree(count, cls, config), config)
-    return Model(config, cls, tree, net)
+    emissions = Emissions(count_tokens(held, config), config)
+    network = warm_start(_warm_blocks(held, emissions.total, config), emissions, config)
+    train(held, network, emissions, config)
+    return Model(config, network, emissions)
 
 
 def fit(docs: DataFrame, config: LmConfig = LmConfig()) -> Model:
@@ -314,21 +382,21 @@ def fit(docs: DataFrame, config: LmConfig = LmConfig()) -> Model:
 
 
 def _score(held: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token for each row of held."""
+    """doc_id, n_tokens, n_new, pll, pll_per_token for each row of held."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            got = m.scores([_read(t) for t in b["t"]]) if len(b) else []
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [n for n, _ in got], "pll": [s for _, s in got], "pll_per_token": pd.array([s / n if n else None for n, s in got], dtype="Float64")})
+            got = [x for lo in range(0, len(b), 256) for x in m.scores([_read(t) for t in b["t"][lo : lo + 256]])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [n for n, _, _ in got], "n_new": [u for _, u, _ in got], "pll": [s for _, _, s in got], "pll_per_token": pd.array([s / n if n else None for n, _, s in got], dtype="Float64")})
 
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInPandas(run, f"doc_id {kind}, n_tokens long, pll double, pll_per_token double")
+    return held.select("doc_id", "t").mapInPandas(run, f"doc_id {kind}, n_tokens long, n_new long, pll double, pll_per_token double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, pll, pll_per_token for each row of docs."""
+    """doc_id, n_tokens, n_new, pll, pll_per_token for each row of docs, which the model has learnt from."""
     return _score(cut(docs, model.config), model)
 
 
