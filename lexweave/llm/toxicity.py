@@ -1,34 +1,42 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier.
 
-Voters: one for each word of a lexicon mined from the training labels (words far more common in
-toxic rows, seen between different neighbours, so that copies of one toxic text do not make all its
-words voters), and patterns (shouting, runs of exclamation marks, several or no lexicon words, dense
-lexicon words). Each votes toxic, clean or abstains. The label model estimates by expectation
-maximisation how each voter votes given the hidden label, and from the votes' residual correlations
-under the posterior how much voters repeat each other; correlated voters share their weight. Its
-posterior labels, not the given ones, train a logistic classifier on lexicon words and pattern
-features by stochastic gradient descent. The given labels serve to mine the lexicon, to name the
-classes as the first guess of the posterior, and to calibrate the final score.
-
-Training takes a bounded sample: `train_rows` labelled rows by hash order, `train_chars` characters
-of each. Scoring takes whole texts. Defined results: null, empty or wordless texts score as a text
-without any lexicon word; without labelled rows every score is 0; repeated rows are scored each.
+Terms are words and word beginnings of `stems` letters. Those that toxic training rows hold far more often
+than clean ones make the lexicon: a likelihood ratio test over all learnable rows and whole texts, with a
+level that follows the number of terms tested, so that chance makes none. Exact copies of a text count
+once, occurrences in a text count twice at most, and a term must stand between different neighbours, so
+that near copies of one toxic text don't make all its words voters.
+
+Voters: one for each of the `voters` strongest terms, which votes toxic where it stands, and patterns over
+all lexicon terms, of which some can vote clean: none, sparse, several, dense; and shouting, exclaiming.
+Each votes toxic, clean or abstains. The label model sees the votes alone: it estimates by expectation
+maximisation how each voter votes given the hidden label, hence its accuracy, and from the residual
+correlations under the posterior how far voters repeat each other; such voters share their weight, and voters
+no better than chance lose theirs. Its posterior labels train a logistic classifier on terms and patterns by
+stochastic gradient descent. The given labels serve to mine the lexicon, to tell which of the two hidden
+classes is the toxic one, and to calibrate the slope and shift of the final score.
+
+The label model and the classifier are fitted on a bounded sample: `train_rows` labelled rows, half of each
+class if there are more, weighted by what they stand for. Mining and scoring take everything. Defined
+results: null, empty or wordless texts score as a text without any lexicon term; without toxic and
+clean labelled rows, or without a lexicon, every score is the share of toxic rows (0 without rows); repeated
+rows are scored each; of a doc_id with several labels each counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.langid import learnable
-from lexweave.session import ship_package
+from lexweave.session import materialize, ship_package
 
 _WORD = re.compile(r"\w+")
 
@@ -36,138 +44,281 @@ _WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class ToxicityConfig:
     train_rows: int = 4000
-    train_chars: int = 20_000
-    lexicon: int = 60
-    min_contexts: int = 8
-    min_lift: float = 8.0
+    voters: int = 200
+    stems: tuple[int, ...] = (4, 5, 6, 7)
+    min_lift: float = 4.0
+    min_docs: int = 3
+    margin: float = 8.0
     rounds: int = 25
     epochs: int = 30
     threshold: float = 0.7
+    broadcast_rows: int = 1_000_000
     seed: int = 5
 
 
-@dataclass
-class Toxicity:
-    words: list[str]
-    weight: np.ndarray
-    bias: float
-    slope: float = 1.0
-    shift: float = 0.0
-    accuracy: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def score(self, text: str | None) -> float:
-        if not len(self.weight):
-            return 0.0
-        at = {w: i for i, w in enumerate(self.words)}
-        return float(self.scores(features([text], at))[0])
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weight + self.bias) + self.shift, -30, 30)))
+PATTERNS = ("shouting", "exclaims", "one", "two", "three", "five", "half", "percent", "dense", "none")
 
 
-PATTERNS = ("shouting", "exclaims", "several", "dense", "none")
-
-
-def features(texts: list[str | None], at: dict[str, int]) -> np.ndarray:
-    """Presence of each lexicon word, then the PATTERNS."""
-    m = len(at)
-    x = np.zeros((len(texts), m + len(PATTERNS)), dtype=np.float32)
-    for row, text in zip(x, texts, strict=True):
-        text = text or ""
-        words = _WORD.findall(text.lower())
-        hits = [at[w] for w in words if w in at]
-        row[hits] = 1
-        upper = sum(map(str.isupper, text))
-        letters = max(1, sum(map(str.isalpha, text)))
-        row[m:] = (upper > 0.6 * letters and letters > 20, text.count("!!") >= 3, len(set(hits)) >= 2, len(hits) >= 0.01 * max(1, len(words)) and len(hits) > 0, not hits)
-    return x
-
-
-def mine(rows: list[tuple[str, int]], config: ToxicityConfig) -> list[str]:
-    """Words that toxic rows hold far more often than clean ones, between different neighbours."""
-    df = (Counter(), Counter())
-    around: dict[str, set] = defaultdict(set)
-    n = [0, 0]
-    for text, y in rows:
-        words = _WORD.findall(text.lower())
-        n[y] += 1
-        df[y].update(set(words))
-        if y:
-            for a, w, b in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                if len(around[w]) < 4 * config.min_contexts:
-                    around[w].add((a, b))
-    if not n[1]:
-        return []
-    lift = lambda w: (df[1][w] + 0.5) / (n[1] + 1) / ((df[0][w] + 0.5) / (n[0] + 1))
-    found = [w for w in df[1] if len(around[w]) >= config.min_contexts and df[1][w] >= config.min_contexts and lift(w) >= config.min_lift]
-    return sorted(found, key=lambda w: (-df[1][w] * np.log(lift(w)), w))[: config.lexicon]
+@dataclass
+class Lexicon:
+    """Terms with their strength; the first `voters` of them vote alone. A stem ends in an asterisk."""
+
+    terms: list[str]
+    config: ToxicityConfig = field(default_factory=ToxicityConfig)
+
+    def __post_init__(self) -> None:
+        self.at = {t: i for i, t in enumerate(self.terms)}
+        self.voters = min(len(self.terms), self.config.voters)
+        self._seen: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": {}}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        """Numbers of the terms that the word is."""
+        got = self._seen.get(word)
+        if got is None:
+            if len(self._seen) > 300_000:
+                self._seen.clear()
+            got = self._seen[word] = tuple(self.at[t] for t in terms_of(word, self.config) if t in self.at)
+        return got
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Presence of each voting term, then the PATTERNS."""
+        m = self.voters
+        x = np.zeros((len(texts), m + len(PATTERNS)), dtype=np.float32)
+        for row, text in zip(x, texts, strict=True):
+            text = text or ""
+            words = _WORD.findall(text.lower())
+            hits = [got for w in words if (got := self.of(w))]
+            row[[k for got in hits for k in got if k < m]] = 1
+            n, rate = len(hits), len(hits) / max(1, len(words))
+            upper = sum(map(str.isupper, text))
+            letters = max(1, sum(map(str.isalpha, text)))
+            row[m:] = (upper > 0.6 * letters and letters > 20, text.count("!!") >= 3, n == 1, n >= 2, n >= 3, n >= 5, rate >= 0.005, rate >= 0.01, rate >= 0.02 and n > 1, n == 0)
+        return x
+
+
+def terms_of(word: str, config: ToxicityConfig) -> list[str]:
+    return [word, *(word[:k] + "*" for k in config.stems if len(word) > k and word[:k].isalpha())]
 
 
 def votes(x: np.ndarray, m: int) -> np.ndarray:
-    """+1 toxic, -1 clean, 0 abstains: lexicon words and patterns vote toxic where present; `none` votes clean."""
+    """+1 toxic, -1 clean, 0 abstains. Terms and patterns vote toxic where present; `none` votes clean; a text with
+    few of its words in the lexicon is voted clean by the patterns of number and density."""
     v = (x > 0).astype(np.int8)
-    v[:, -1] *= -1
-    v[:, m + 2 : m + 4] -= (x[:, m + 2 : m + 4] == 0) & (x[:, -1:] > 0)  # several and dense vote clean where no word is
+    one, two, three, five, half, percent, dense, none = (m + PATTERNS.index(p) for p in PATTERNS[2:])
+    v[:, one] = 0
+    v[:, none] *= -1
+    v[:, three] -= x[:, two] == 0
+    v[:, percent] -= x[:, half] == 0
+    v[:, dense] -= x[:, percent] == 0
     return v
 
 
-def label_model(v: np.ndarray, prior: float, config: ToxicityConfig, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic, accuracy of each voter, and its weight after correlations.
+@dataclass
+class Toxicity:
+    lexicon: Lexicon
+    weight: np.ndarray
+    bias: float
+    slope: float = 1.0
+    shift: float = 0.0
+    accuracy: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    share: float = 0.0
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
-    start: a first guess of the posterior; without it a vote in which correlated voters share."""
-    n, m = v.shape
-    raw = (v - v.mean(axis=0)) / (v.std(axis=0) + 1e-9)
-    weight = 1 / np.maximum(1, ((raw.T @ raw / n) ** 2).sum(axis=0))
-    q = 1 / (1 + np.exp(-np.clip(2 * (v @ weight), -3, 3))) if start is None else start
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not len(self.weight):
+            return np.full(len(texts), self.share)
+        z = self.lexicon.features(texts) @ self.weight + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
+
+
+def label_model(v: np.ndarray, prior: float, config: ToxicityConfig, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the positive class, accuracy of each voter, and its weight after correlations.
+
+    rows: how many rows each row stands for. It starts from the majority in a vote in
+    which correlated voters share."""
+    s = np.ones(len(v)) if rows is None else rows / rows.mean()
+    n = s.sum()
+    mid = (s[:, None] * v).sum(axis=0) / n
+    raw = (v - mid) / (v.std(axis=0) + 1e-9)
+    weight = 1 / np.maximum(1, (((raw * s[:, None]).T @ raw / n) ** 2).sum(axis=0))
+    q = np.where(v @ weight > 0, 0.9, 0.1)
     kinds = [(v == k).astype(float) for k in (-1, 0, 1)]
-    for i in range(config.rounds):
-        tox = np.stack([(k * q[:, None]).sum(axis=0) for k in kinds]) + 0.5
-        cln = np.stack([(k * (1 - q[:, None])).sum(axis=0) for k in kinds]) + 0.5
+    for _ in range(config.rounds):
+        tox = np.stack([(k * (s * q)[:, None]).sum(axis=0) for k in kinds]) + 0.5
+        cln = np.stack([(k * (s * (1 - q))[:, None]).sum(axis=0) for k in kinds]) + 0.5
         p, r = tox / tox.sum(axis=0), cln / cln.sum(axis=0)
-        logit = np.log(prior / (1 - prior)) + sum(k @ (weight * (np.log(a) - np.log(b))) for k, a, b in zip(kinds, p, r, strict=True))
+        accuracy = (p[2] * prior + r[0] * (1 - prior)) / np.maximum(1e-9, (p[2] + p[0]) * prior + (r[0] + r[2]) * (1 - prior))
+        # what guessing would reach: the commoner class among the rows the voter votes on
+        chance = np.maximum(p[2] + p[0], 1e-9) * prior / np.maximum(1e-9, (p[2] + p[0]) * prior + (r[0] + r[2]) * (1 - prior))
+        useful = accuracy >= np.where(p[2] >= p[0], np.minimum(chance, 1 - chance), 0)
+        logit = np.log(prior / (1 - prior)) + sum(k @ (weight * useful * (np.log(a) - np.log(b))) for k, a, b in zip(kinds, p, r, strict=True))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         mean = q[:, None] * (p[2] - p[0]) + (1 - q[:, None]) * (r[2] - r[0])
         left = v - mean  # what the label does not explain
-        left /= np.sqrt((left**2).mean(axis=0)) + 1e-9
-        both = np.abs(left.T @ left / n).clip(0, 1)
+        left /= np.sqrt((s[:, None] * left**2).sum(axis=0) / n) + 1e-9
+        both = np.abs((left * s[:, None]).T @ left / n).clip(0, 1)
         weight = 1 / np.maximum(1, np.where(both > 0.4, both, 0).sum(axis=0))
-    accuracy = (p[2] * prior + r[0] * (1 - prior)) / np.maximum(1e-9, (p[2] + p[0]) * prior + (r[0] + r[2]) * (1 - prior))
     return q, accuracy, weight
 
 
-def train(rows: list[tuple[str, int]], config: ToxicityConfig = ToxicityConfig()) -> Toxicity:
-    rows = [(t or "", int(y)) for t, y in rows]
-    toxic = sum(y for _, y in rows)
-    if not rows or not toxic or toxic == len(rows):
-        return Toxicity([], np.zeros(0), 0.0)
-    words = mine(rows, config)
-    x = features([t for t, _ in rows], {w: i for i, w in enumerate(words)})
-    y = np.array([k for _, k in rows], dtype=float)
-    q, accuracy, _ = label_model(votes(x, len(words)), toxic / len(rows), config, np.where(y > 0, 0.9, 0.05))
+def train(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None) -> Toxicity:
+    """x: features of the sample, y: their given labels, rows: how many rows each stands for."""
+    config = lexicon.config
+    s = np.ones(len(y)) if rows is None else rows / rows.mean()
+    share = float((s * y).sum() / s.sum()) if len(y) else 0.0
+    if not lexicon.terms or not 0 < share < 1:
+        return Toxicity(lexicon, np.zeros(0), 0.0, share=share if 0 < share < 1 else 0.0)
+    v = votes(x, lexicon.voters)
+    q, accuracy, _ = label_model(v, share, config, s)
+    if (s * q * (y - share)).sum() < 0:  # the hidden classes have no names of their own
+        q, accuracy = 1 - q, 1 - accuracy
     rng = np.random.default_rng(config.seed)
     w, b = np.zeros(x.shape[1]), 0.0
     for e in range(config.epochs):
         for k in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            g = 1 / (1 + np.exp(-np.clip(x[k] @ w + b, -30, 30))) - q[k]
+            g = s[k] * (1 / (1 + np.exp(-np.clip(x[k] @ w + b, -30, 30))) - q[k])
             rate = 0.5 / (1 + 0.2 * e)
             w -= rate * (x[k].T @ g / len(k) + 1e-4 * w)
             b -= rate * g.mean()
-    model = Toxicity(words, w, b, accuracy=accuracy)
+    model = Toxicity(lexicon, w, b, accuracy=accuracy, share=share)
     z = x @ w + b
     slope, shift = 1.0, 0.0
-    for _ in range(300):  # calibration of one slope and shift on the given labels
-        g = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))) - y
+    for _ in range(2000):  # calibration of one slope and shift on the given labels
+        g = s * (1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))) - y)
         slope = max(0.2, slope - 0.05 * (g * z).mean())
         shift -= 0.05 * g.mean()
     model.slope, model.shift = slope, shift
     return model
 
 
+def _bit(before: str, after: str) -> int:
+    return 1 << (xxhash.xxh32_intdigest(f"{before} {after}") & 63)
+
+
+def count_terms(rows: Iterator[tuple[str | None, int]], config: ToxicityConfig) -> dict[str, list[int]]:
+    """For each term: times in clean and in toxic texts (two a text at most), toxic texts, and a map of neighbours there."""
+    held: dict[str, list[int]] = {}
+    for text, y in rows:
+        words = _WORD.findall((text or "").lower())
+        own: Counter[str] = Counter()
+        for w, n in Counter(words).items():
+            for t in terms_of(w, config):
+                own[t] += n
+        for t, n in own.items():
+            x = held.setdefault(t, [0, 0, 0, 0])
+            x[y] += min(n, 2)
+            x[2] += y
+        if y:
+            for a, w, b in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+                bit = _bit(a, b)
+                for t in terms_of(w, config):
+                    held[t][3] |= bit
+    return held
+
+
+def strength(counts: pd.DataFrame, rows: tuple[int, int], config: ToxicityConfig) -> pd.Series:
+    """Likelihood ratio of each term(clean, toxic, docs, near), 0 for those that are no sign of toxicity.
+
+    near: different neighbours in toxic texts, which bound how many times the term can count."""
+    n0, n1 = rows
+    x0 = counts["clean"].astype(float)
+    x1 = np.minimum(counts["toxic"], 2.0 * counts["near"]).astype(float)
+    total = np.maximum(x0 + x1, 1e-9)
+    want1, want0 = total * n1 / (n0 + n1), total * n0 / (n0 + n1)
+    log = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / b), 0.0)
+    g = 2 * (log(x1, want1) + log(x0, want0))
+    fit = (np.minimum(counts["docs"], counts["near"]) >= config.min_docs) & (x1 / n1 >= config.min_lift * (x0 + 0.5) / n0)
+    return pd.Series(np.where(fit, g, 0.0), index=counts.index)
+
+
+def level(terms: int, rows: tuple[int, int], config: ToxicityConfig) -> float:
+    """What a term must reach: chance among so many terms, or half of the toxic rows and no clean one if there are few."""
+    n0, n1 = rows
+    few = 2 * max(config.min_docs, n1 / 2) * np.log((n0 + n1) / n1)
+    return float(min(2 * np.log(max(terms, 2)) + config.margin, few))
+
+
+def distinct_terms(kept: pd.DataFrame) -> list[str]:
+    """Terms of kept(term, clean, toxic, g), strongest first, without those that stand for nearly the same
+    occurrences as a stronger one: the stem of a word, or a longer stem."""
+    out: list[str] = []
+    near: dict[str, list[tuple[str, float, float]]] = {}
+    for term, clean, toxic in kept.sort_values(["g", "term"], ascending=[False, True], kind="stable")[["term", "clean", "toxic"]].itertuples(index=False):
+        stem = term.rstrip("*")
+        for other, c, t in near.get(stem[:4], []):
+            if (stem.startswith(other) or other.startswith(stem)) and abs(t - toxic) <= 0.1 * t and abs(c - clean) <= 0.1 * c + 1:
+                break
+        else:
+            out.append(term)
+            near.setdefault(stem[:4], []).append((stem, clean, toxic))
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """doc_id, text, y of the learnable labelled rows, one of each different text and label."""
+    known = learnable(labels.select("doc_id", "toxic")).filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_d"), F.least(F.greatest(F.col("toxic").cast("int"), F.lit(0)), F.lit(1)).alias("y")).distinct()
+    known = materialize(known, "labelled-ids")
+    small = lambda d: F.broadcast(d) if d.count() <= config.broadcast_rows else d  # noqa: E731  16 bytes a row
+    met = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).join(small(known), F.col("doc_id") == F.col("_d"))
+    one = materialize(met.groupBy("k1", "k2", "y").agg(F.min("doc_id").alias("_d")).select("k1", "k2", "y", "_d"), "labelled-texts")
+    keyed = docs.select("doc_id", "text").join(small(one), F.col("doc_id") == F.col("_d"))
+    return keyed.filter((F.xxhash64("text") == F.col("k1")) & (F.xxhash64(F.lit(1), "text") == F.col("k2"))).select("doc_id", "text", "y", "k1")
+
+
+def mine(rows: DataFrame, config: ToxicityConfig) -> tuple[Lexicon, tuple[int, int]]:
+    """Lexicon of rows(text, y), and the numbers of clean and toxic rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                held = count_terms(zip(part["text"], part["y"], strict=True), config)
+                t = pd.DataFrame(list(held.values()), columns=["clean", "toxic", "docs", "near"], dtype=np.uint64).astype(np.int64)
+                t.insert(0, "term", list(held))
+                yield t
+
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    size = (n.get(0, 0), n.get(1, 0))
+    if not all(size):
+        return Lexicon([], config), size
+    counted = rows.select("text", "y").mapInPandas(run, "term string, clean long, toxic long, docs long, near long")
+    counted = materialize(counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.bit_count(F.bit_or("near")).cast("long").alias("near")), "terms")
+    least = level(counted.count(), size, config)
+    # of the terms tested, those alone that can pass come to the driver: far more often in toxic texts, and often enough
+    can = counted.filter((F.col("docs") >= config.min_docs) & (F.col("near") >= config.min_docs) & (F.col("toxic") * size[0] >= config.min_lift * F.col("clean") * size[1])).toPandas()
+    can["g"] = strength(can, size, config)
+    return Lexicon(distinct_terms(can[can["g"] >= least]), config), size
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Toxicity:
-    known = learnable(labels.select("doc_id", "toxic")).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    ids = known.distinct().orderBy(F.xxhash64("doc_id", F.lit(config.seed)), "doc_id", "toxic").limit(config.train_rows).select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("_y"))
-    got = docs.select("doc_id", F.substring("text", 1, config.train_chars).alias("t")).join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).select("doc_id", "t", "_y").collect()  # train_rows ids at most
-    return train([(r.t, min(1, max(0, r._y))) for r in sorted(got, key=lambda r: (r.doc_id, r._y))], config)
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows = labelled(docs, labels, config)
+    lexicon, size = mine(rows, config)
+    share = size[1] / max(1, sum(size))
+    if not lexicon.terms:
+        return Toxicity(lexicon, np.zeros(0), 0.0, share=share if 0 < share < 1 else 0.0)
+    part = [min(1.0, config.train_rows / 2 / n) for n in size]
+    at = F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.filter(at < F.when(F.col("y") == 1, part[1]).otherwise(part[0]))
+    shared = spark.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"k": b["k1"], "doc_id": b["doc_id"], "y": b["y"], "x": list(shared.value.features(list(b["text"])))})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sample.select("k1", "doc_id", "y", "text").mapInPandas(run, f"k long, doc_id {kind}, y int, x array<float>").toPandas()  # some train_rows rows
+    if not len(got):
+        return Toxicity(lexicon, np.zeros(0), 0.0, share=share)
+    got = got.sort_values(["k", "doc_id", "y"], kind="stable")
+    y = got["y"].to_numpy(dtype=float)
+    return train(lexicon, np.stack(got["x"].to_list()), y, np.where(y > 0, 1 / part[1], 1 / part[0]))
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
@@ -176,11 +327,8 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        at = {w: i for i, w in enumerate(m.words)}
         for b in batches:
-            s = m.scores(features(list(b["text"]), at)) if len(m.weight) else np.zeros(len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.asarray(s, dtype=np.float64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.asarray(shared.value.scores(list(b["text"])), dtype=np.float64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
