@@ -3,12 +3,12 @@
 Texts are taken as UTF-8; A-Z become a-z and every other ASCII character than 0-9 and a-z
 separates words, so a single byte translation normalises a text and keeps byte offsets. A
 window is ten consecutive words of an item, or the whole item if it has fewer. Every text is
-scanned once; places in the joined words map back to word numbers and from there to byte
-spans of the original.
+scanned once as a row of word numbers, in which words that no item holds are one number; places in
+it are word numbers, and map back to byte spans of the original.
 
 Defined results: null or wordless text -> no hits; null or wordless item -> no window;
-windows shared by several items name all of them; an empty benchmark hits nothing. An item without
-an id is left out. Item ids in `items` are strings, sorted as strings, without repeats.
+windows shared by several items name all of them; an empty benchmark hits nothing. Windows of an item
+without an id hit, but it is not among the items. Item ids in `items` are strings, sorted as strings, without repeats.
 """
 
 from __future__ import annotations
@@ -38,27 +38,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _char(n: int) -> str:
+    """A character for the number n, surrogates and the null character left out."""
+    return chr(n + 1 if n < 0xD7FF else n + 0x801)
+
+
 class Windows:
-    """The automaton, and for each window its number of words and the items that hold it."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        length: dict[bytes, int] = {}
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[i : i + window]
-                key = b" " + b" ".join(part) + b" "
-                owners[key].add(item)
-                length[key] = len(part)
+    """The automaton over word numbers, and for each window its number of words and the items that hold it.
+
+    A word of the test items is a number, written as one character, or as two of separate ranges where there
+    are more than `alphabet` words; so the automaton takes ten steps a window, not one for each letter."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, alphabet: int = 1_000_000):
+        texts = [words_of(text) for _, text in items]
+        numbers: dict[bytes, int] = {}
+        for words in texts:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.wide = 1 if len(numbers) <= alphabet else 2
+        low = alphabet if self.wide == 1 else alphabet // 2
+        self.chars = {w: _char(n) if self.wide == 1 else _char(low + n // low) + _char(n % low) for w, n in numbers.items()}
+        del numbers
+        first: list[int] = []
+        more: dict[int, set[int]] = defaultdict(set)
+        sizes: list[int] = []
         self.automaton = ahocorasick.Automaton()
-        self.items = [sorted(x) for x in owners.values()]
-        self.sizes = [length[k] for k in owners]
-        for n, key in enumerate(owners):
-            self.automaton.add_word(key.decode("latin-1"), n)
-        if owners:
+        for item, words in enumerate(texts):
+            line = "".join([self.chars[w] for w in words])
+            n = min(window, len(words))
+            for i in range(len(words) - n + 1 if words else 0):
+                key = line[i * self.wide : (i + n) * self.wide]
+                at = self.automaton.get(key, -1)
+                if at < 0:
+                    self.automaton.add_word(key, len(first))
+                    first.append(item)
+                    sizes.append(n)
+                elif first[at] != item:
+                    more[at].add(item)
+        self.empty = not first
+        if first:
             self.automaton.make_automaton()
-        self.empty = not owners
+        self.first, self.more, self.sizes = np.array(first, dtype=np.int64), dict(more), np.array(sizes, dtype=np.int64)
+        self.names = [item for item, _ in items]
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str], list[bytes]]:
         """Number of words, sorted numbers of the words hit, items found, the words."""
@@ -66,18 +87,17 @@ class Windows:
         none = np.zeros(0, dtype=np.int64)
         if not words or self.empty:
             return len(words), none, set(), words
-        found = list(self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
+        unknown, get = "\0" * self.wide, self.chars.get
+        found = list(self.automaton.iter("".join([get(w, unknown) for w in words])))
         if not found:
             return len(words), none, set(), words
-        ends = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
-        at = np.array([e for e, _ in found], dtype=np.int64)
+        last = np.array([e for e, _ in found], dtype=np.int64) // self.wide
         key = np.array([k for _, k in found], dtype=np.int64)
-        last = np.searchsorted(ends, at)
-        first = last - np.array(self.sizes, dtype=np.int64)[key] + 1
         cover = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(cover, first, 1)
+        np.add.at(cover, last - self.sizes[key] + 1, 1)
         np.add.at(cover, last + 1, -1)
-        names = {x for k in np.unique(key) for x in self.items[k]}
+        held = {int(x) for x in self.first[key]}.union(*(self.more[k] for k in set(key.tolist()) & self.more.keys()))
+        names = {self.names[x] for x in held} - {None}
         return len(words), np.flatnonzero(np.cumsum(cover)[:-1] > 0), names, words
 
 
@@ -92,7 +112,7 @@ def byte_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(start[a]), int(end[b])) for a, b in zip(hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]], strict=True)]
 
 
-def _windows(digest: str, items: list[tuple[str, str | None]], window: int) -> Windows:
+def _windows(digest: str, items: list[tuple[str | None, str | None]], window: int) -> Windows:
     key = f"{digest}:{window}"
     if key not in _BUILT:
         _BUILT.clear()
@@ -103,11 +123,11 @@ def _windows(digest: str, items: list[tuple[str, str | None]], window: int) -> W
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _items(benchmark: DataFrame) -> tuple[list[tuple[str, str | None]], str]:
-    items = [(str(r.item_id), r.text) for r in benchmark.select("item_id", "text").collect() if r.item_id is not None]
+def _items(benchmark: DataFrame) -> tuple[list[tuple[str | None, str | None]], str]:
+    items = [(None if r.item_id is None else str(r.item_id), r.text) for r in benchmark.select("item_id", "text").collect()]
     return items, hashlib.sha256(repr(sorted(items, key=repr)).encode()).hexdigest()
 
 
@@ -154,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of docs without a hit, with all their columns; benchmark blocks filter one after the other."""
-    spark = docs.sparkSession
+    spark, rows = docs.sparkSession, docs
     ship_package(spark)
     for block in _blocks(benchmark):
         items, digest = _items(block)
@@ -165,6 +185,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
             for b in batches:
                 yield b.filter(pa.array([not len(w.scan(t)[1]) for t in b.column("text").to_pylist()], pa.bool_()))
 
+        if docs is not rows:  # one automaton in memory at a time
+            docs = materialize(docs, "clean-of-block")
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 

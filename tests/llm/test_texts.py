@@ -21,7 +21,7 @@ def brute_hits(rows, items):
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - 9) if w else 0):
-            at[tuple(w[i : i + 10])].add(str(item))
+            at[tuple(w[i : i + 10])] |= set() if item is None else {str(item)}
     sizes = {len(k) for k in at}
     out = []
     for d, t in rows:
@@ -46,14 +46,16 @@ def test_decontamination(spark, corpus, edge, empty, clash, monkeypatch):
     docs = spark.createDataFrame(corpus, edge.schema)
     want = brute_hits([(r[0], r[1]) for r in corpus], items)
     assert got(decontam.op9(docs, bench)) == want and sum(r[5] for r in want) > 0
-    own = spark.createDataFrame([(1, "Two THREE"), (2, None), (3, "!!"), (4, "a b c d e a b c d e a"), (5, "two three")], "item_id long, text string")
+    own = spark.createDataFrame([(1, "Two THREE"), (2, None), (3, "!!"), (4, "a b c d e a b c d e a"), (5, "two three"), (None, "x y")], "item_id long, text string")
     items = [(r.item_id, r.text) for r in own.collect()]
     assert got(decontam.op9(clash(edge), clash(own))) == brute_hits([(r[0], r[1]) for r in EDGE], items)
     assert decontam.op9(empty, bench).collect() == [] and not any(r.n_hit for r in decontam.op9(edge, own.limit(0)).collect())
     clean = decontam.keep_clean(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not r[5] for r in want)
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
-    assert got(decontam.op9(docs.dropDuplicates(["doc_id"]), bench)) == want
+    assert got(decontam.op9(docs, bench)) == want and decontam.keep_clean(docs, bench).count() == clean.count()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 8)
+    assert got(decontam.op9(edge, own)) == brute_hits([(r[0], r[1]) for r in EDGE], items)
 
 
 def test_decontamination_in_blocks_keeps_rows(spark, clash, monkeypatch):
@@ -65,6 +67,15 @@ def test_decontamination_in_blocks_keeps_rows(spark, clash, monkeypatch):
     assert got(decontam.op9(clash(docs).withColumn("_row", docs.doc_id), bench)) == want and len(want) == 5
 
 
+def test_words_beyond_the_alphabet(corpus):
+    items = [(str(i), r[1]) for i, r in enumerate(corpus[:40])] + [(None, "one two")]
+    one, two = decontam.Windows(items), decontam.Windows(items, alphabet=50)
+    assert (one.wide, two.wide) == (1, 2)
+    for r in corpus[:120]:
+        a, b = one.scan(r[1]), two.scan(r[1])
+        assert a[0] == b[0] and (a[1] == b[1]).all() and a[2] == b[2]
+
+
 def test_hit_spans_point_into_the_original():
     w = decontam.Windows([("a", "One two, three")])
     text = "é: ONE--two three; four one two"
