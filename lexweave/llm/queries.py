@@ -67,4 +67,4 @@ _OP9 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": _OP9}
+    return {"op8_quality_rules": line_quality.ORACLE_SQL, "op9_decontamination": _OP9}

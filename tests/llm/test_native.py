@@ -125,18 +125,19 @@ def test_sanitise_keeps_rows_and_columns(spark, edge, empty):
 
 
 def want_quality(rows, limits):
-    hosts, lines = defaultdict(int), defaultdict(set)
+    hosts, lines = defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x))).strip(" ")
     full = lambda t: [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     for r in rows:
-        hosts[r[3] or ""] += 1
+        doc = r[0] if limits.by == "documents" else r[1] or ""
+        hosts[r[3] or ""].add(doc)
         for x in full(r[1] or ""):
-            lines[r[3] or "", norm(x)].add(r[1] or "")
+            lines[r[3] or "", norm(x)].add(doc)
     out = []
     for r in rows:
         text, host = r[1] or "", r[3] or ""
         n, chars, symbols, dup, rep = quality(text)
-        top = max(limits.min_docs, limits.share * hosts[host])
+        top = max(limits.min_docs, limits.share * len(hosts[host]))
         gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in full(text) if len(lines[host, norm(x)]) > top)
         failed = n < 10 or 100 * rep > 20 * n
         out.append((r[0], n, chars, symbols, dup, rep, failed, not failed and n - gone >= limits.min_words and n - gone >= limits.min_left * n, gone))
@@ -147,6 +148,8 @@ def test_quality(spark, corpus, edge, empty, clash):
     limits = line_quality.LineLimits(min_docs=2, share=0.05)
     docs = spark.createDataFrame(corpus, edge.schema)
     assert want_quality(corpus, limits) == ordered([tuple(r) for r in line_quality.judge(docs, limits).collect()])
+    by_text = line_quality.LineLimits(min_docs=2, share=0.01, by="texts")
+    assert want_quality(corpus, by_text) == ordered([tuple(r) for r in line_quality.judge(docs, by_text).collect()])
     assert want_quality(corpus, line_quality.LineLimits()) == ordered([tuple(r) for r in line_quality.op8(docs).collect()])
     assert want_quality(EDGE, line_quality.LineLimits()) == ordered([tuple(r) for r in line_quality.op8(clash(edge)).collect()])
     assert line_quality.op8(empty).collect() == []
@@ -162,8 +165,11 @@ def test_depleted_documents_are_rejected(spark, edge):
     assert clean[3] == "unique da words"
 
 
-def test_copies_do_not_raise_the_limit(spark, edge):
+def test_copies_are_documents_unless_told_apart_by_text(spark, edge):
     line = "Home Page of the shop with many good offers today"
-    rows = [(i, f"{line}\nunique {chr(97 + i % 26)}{chr(97 + i // 26)} words", "en", "h", 0) for i in range(40)] + [(100 + i, "one text that is copied very often", "en", "h", 0) for i in range(3000)]
-    got = {r.doc_id: r for r in line_quality.op8(spark.createDataFrame(rows, edge.schema)).collect()}
-    assert got[0].removed_words == 10 and not got[0].kept and got[100].removed_words == 0
+    rows = [(i, f"{line}\nunique {chr(97 + i % 26)}{chr(97 + i // 26)} words", "en", "h", 0) for i in range(40)] + [(100 + i, "one text that is copied very often by other people here today", "en", "h", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, edge.schema)
+    got = {r.doc_id: r for r in line_quality.judge(docs, line_quality.LineLimits(by="texts")).collect()}
+    assert got[0].removed_words == 10 and not got[0].kept and got[100].removed_words == 0 and got[100].kept
+    got = {r.doc_id: r for r in line_quality.op8(docs).collect()}
+    assert got[0].removed_words == 0 and got[100].removed_words == 12 and not got[100].kept
