@@ -165,7 +165,74 @@ def test_extraction_of_the_table(spark):
 
 def test_tree_matching():
     a, b = (html_extract.parse(x) for x in ("<div><p>1</p><p>2</p><ul></ul><h2></h2></div>", "<div><p>9</p><h2></h2><table></table></div>"))
-    assert html_extract.match([a], [b])[0] == 3
+    assert html_extract.Matching(a, b).of(0, 0)[0] == 3
+
+
+def test_tree_matching_against_recursion():
+    """Random trees against the plain recursive definition over runs."""
+    import random
+    from functools import cache
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        return "".join(f"<{s}>{tree(depth - 1) if depth else ''}</{s}>" for s in (rng.choice(["div", "section", "ul", "span"]) for _ in range(rng.randrange(4))))
+
+    for _ in range(60):
+        a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
+
+        @cache
+        def size(u, v, i, j, a=a, b=b):
+            x, y = a.runs(u), b.runs(v)
+            if not i or not j:
+                return 0
+            best = max(size(u, v, i - 1, j), size(u, v, i, j - 1))
+            if x[i - 1][0] == y[j - 1][0]:
+                s, z = x[i - 1][1][0], y[j - 1][1][0]
+                best = max(best, size(u, v, i - 1, j - 1) + 1 + size(s, z, len(a.runs(s)), len(b.runs(z))))
+            return best
+
+        same = [s for s, _ in a.runs(0)] == [s for s, _ in b.runs(0)]
+        got, pairs = html_extract.Matching(a, b).of(0, 0)
+        assert got == size(0, 0, len(a.runs(0)), len(b.runs(0))) or same
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_extraction_of_broken_and_deep_pages(spark, clash):
+    deep = "<div>" * 50_000 + "core text" + "</div>" * 50_000
+    rows = [(1, "http://d/", deep), (2, "http://d/", deep.replace("core", "other")), (3, "http://e/", "<b><i>" * 20_000 + "x<p>y" * 3), (4, "http://f/", "<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e<dt>f</dl><ul><li>g<li>h</ul>"), (5, "http://g/", "<p>1" * 5_000)]
+    rows += [(10 + i, "http://wide/", "<main>" + "".join(f"<{'section' if k % 2 else 'div'}>t{i} {k}</{'section' if k % 2 else 'div'}>" for k in range(600 + i)) + "</main>") for i in range(6)]
+    out = {r.page_id: r.text for r in html_extract.op6(clash(pages_of(spark, rows))).collect()}
+    assert (out[1], out[2], out[3]) == ("core text", "other text", "x\n\nyx\n\nyx\n\ny")
+    assert out[4].split("\n\n") == list("abcdefgh") and out[5] == "\n\n".join(["1"] * 5_000)
+    assert out[13].split("\n\n") == [f"t3 {k}" for k in range(603)]
+
+
+def test_the_wrapper_decides_without_telling_names(spark):
+    side = " ".join(f"sidebar sentence {k} says the same on each page" for k in range(60))
+    page = "<body><div class=x1><div class=q>{1}</div></div><div class=x2><div class=z><h2>Title {0}</h2><div class=notice><p>note {0}</p></div><p>body of {0}</p></div></div><div class=x3>all rights</div></body>"
+    rows = [(i, "http://h/", page.format(f"n{i} " + "y" * (i + 2), side)) for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.op6(pages_of(spark, rows)).collect()}
+    for i in (0, 5, 11):
+        v = f"n{i} " + "y" * (i + 2)
+        assert out[i] == f"Title {v}\n\nnote {v}\n\nbody of {v}"
+        assert side in html_extract.extract(html_extract.align(html_extract.parse(rows[i][2]), html_extract.name_reference(html_extract.parse(rows[i][2]))), None, set(), True)
+    links = '<div class="related">' + "".join(f'<a href="/{{0}}/{k}">see {{0}} {k}</a> ' for k in range(30)) + "</div>"
+    rows = [(i, "http://h/", page.replace("<p>body", links + "<p>body").format(f"n{i}", side)) for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.op6(pages_of(spark, rows)).collect()}
+    assert out[3] == "Title n3\n\nnote n3\n\nbody of n3"
+
+
+def test_hot_hosts_are_joined_in_parts(spark):
+    rows = [(i, f"http://h{int(i % 5 == 0)}/", PAGE.format(f"n{i} " + "y" * (i + 3))) for i in range(60)] + [(99, None, "<p>x")]
+    pages = pages_of(spark, rows)
+    want = sorted((r.page_id, r.text) for r in html_extract.main_text(pages).collect())
+    got = html_extract.main_text(pages, html_extract.WrapperConfig(broadcast_bytes=0, hot_pages=10, hot_parts=4))
+    assert sorted((r.page_id, r.text) for r in got.collect()) == want and len(want) == 61
 
 
 def test_pipeline(spark, corpus, edge):
