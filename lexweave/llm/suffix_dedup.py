@@ -1,16 +1,16 @@
 """Removal of repeated byte strings by logarithmic families of suffix arrays.
 
 Every byte covered by a `width`-byte string that starts at another place of the corpus too is
-removed. Suffixes matter only up to `width` bytes, so a suffix array here is the sorted array of
-the `width`-byte windows of a batch. A family takes batches: a new batch is sorted, merge-scanned
-against every existing level for equal windows, what was not there becomes a new level, and levels
-of like size merge, so that there are logarithmically many and each window is rewritten
-logarithmically often.
+removed. A family takes batches of text: a new batch gets a suffix array (order and common prefixes up to
+`width` bytes matter), is merge-scanned against every existing level for equal `width`-byte prefixes, what
+was not there becomes a new level, and levels of like size merge, so that there are logarithmically many and each
+suffix is moved logarithmically often. A level keeps its bytes once, 8 bytes for a start and 32 for the search.
 
 Families are spread over the cluster by content. Each window is assigned the leftmost smallest
 hash of the `gram`-byte strings inside it (its anchor); equal windows have equal anchors at the same
 offset. The consecutive windows of one anchor form a slab of at most 2 width bytes. Slabs whose
-anchor occurs once cannot repeat; equal slabs repeat whole, and enter a family once; all different
+anchor occurs once cannot repeat; equal slabs (same anchor, same 64-bit hash of all their bytes) repeat whole,
+and enter a family once, or not at all where an anchor has no other; all different
 slabs of one anchor go to the same family. Anchors with very many slabs are split by the offset of
 the window from the anchor, and beyond `width` such parts by a hash of the window itself, so that no
 anchor has to fit one task.
@@ -37,6 +37,8 @@ from lexweave.session import materialize, ship_package, shuffle_partitions
 
 _U = np.uint64
 _CHUNK = 1 << 19
+_PREFIX = 32
+_STEP = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -47,49 +49,114 @@ class RepeatConfig:
     family_windows: int = 200_000
     #: Slabs of one anchor that one family takes before the anchor is split.
     anchor_slabs: int = 2000
-    #: Removed runs that may be broadcast; more are joined by a shuffle.
-    broadcast_runs: int = 500_000
+    #: Bytes of a table that may be broadcast: removed runs (8 bytes an edge, 16 a text), anchors, copied slabs.
+    broadcast_bytes: int = 8 << 20
+
+
+def _windows(data: np.ndarray, width: int) -> np.ndarray:
+    """The width-byte string at each place of data, as a view without copies."""
+    return np.ndarray((max(0, len(data) - width + 1),), dtype=f"S{width}", buffer=data, strides=(1,))
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the starts, by `width` bytes: their numbers in order, and whether each shares its first
+    `width` bytes with the one before (LCP >= width). Ranks of 8 bytes are doubled until they span width."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(data),), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    span = min(8, width)
+    _, rank = np.unique(words >> _U(8 * (8 - span)), return_inverse=True)
+    while span < width:
+        ahead = min(span, width - span)
+        m = int(rank.max()) + 2
+        pair = rank * m
+        pair[: len(rank) - ahead] += rank[ahead:] + 1
+        _, rank = np.unique(pair, return_inverse=True)
+        span += ahead
+    own = rank[starts]
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    return order, np.r_[False, own[1:] == own[:-1]] if len(own) else np.zeros(0, dtype=bool)
+
+
+class Level:
+    """A suffix array: one row of bytes, the starts of different windows in their order, and the first
+    bytes of each side by side for the search; owner numbers the windows over the whole family."""
+
+    __slots__ = ("data", "owner", "prefix", "starts", "width")
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int, prefix: np.ndarray | None = None):
+        self.data, self.starts, self.owner, self.width = data, starts, owner, width
+        self.prefix = _windows(data, min(_PREFIX, width))[starts] if prefix is None else prefix
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def locate(self, other: Level, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each window of other[part] in this level, and whether it stands there."""
+        keys = other.prefix[part]
+        lo, hi = np.searchsorted(self.prefix, keys, "left"), np.searchsorted(self.prefix, keys, "right")
+        left = np.flatnonzero(lo < hi)
+        hit = np.zeros(len(lo), dtype=bool)
+        if len(left):
+            whole = _windows(self.data, self.width)
+            want = _windows(other.data, self.width)[other.starts[part][left]]
+            a, z = lo[left], hi[left]
+            while (open_ := np.flatnonzero(a < z)).size:
+                mid = (a[open_] + z[open_]) // 2
+                less = whole[self.starts[mid]] < want[open_]
+                a[open_[less]] = mid[less] + 1
+                z[open_[~less]] = mid[~less]
+            lo[left] = a
+            there = a < len(self.starts)
+            hit[left[there]] = whole[self.starts[a[there]]] == want[there]
+        return lo, hit
+
+    def merged(self, other: Level) -> Level:
+        at = np.concatenate([self.locate(other, slice(i, i + _STEP))[0] for i in range(0, len(other), _STEP)])
+        data = np.concatenate([self.data, other.data])
+        put = lambda x, y: np.insert(x, at, y)  # noqa: E731  equal places keep the order of other
+        return Level(data, put(self.starts, other.starts + len(self.data)), put(self.owner, other.owner), self.width, put(self.prefix, other.prefix))
 
 
 class Family:
-    """Levels of sorted windows of distinct content; marks windows that occur twice."""
+    """Levels of geometric size; marks windows that occur twice. A new batch gets a suffix array, is
+    merge-scanned against every level, and what was in none becomes a level; levels of like size merge."""
 
     def __init__(self, width: int):
-        self.kind = f"S{width}"
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.width = width
+        self.levels: list[Level] = []
         self.repeated: list[np.ndarray] = []
         self.count = 0
 
-    def add(self, windows: np.ndarray) -> None:
-        """windows: (n, width) bytes; they get the numbers count, count + 1, ..."""
-        keys = np.ascontiguousarray(windows).view(self.kind).ravel()
-        n, first = len(keys), self.count
+    def add(self, parts: list[bytes]) -> None:
+        """parts: strings of at least width bytes; their windows get the numbers count, count + 1, ..."""
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        n_of = size - self.width + 1
+        begin = np.repeat(np.cumsum(size) - size - (np.cumsum(n_of) - n_of), n_of)
+        starts = np.arange(len(begin)) + begin
+        n, first = len(starts), self.count
         self.count += n
         mark = np.zeros(n, dtype=bool)
         self.repeated.append(mark)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        new = np.ones(n, dtype=bool)
-        new[1:] = keys[1:] != keys[:-1]
-        again = ~new
-        again[:-1] |= ~new[1:]
-        mark[order[again]] = True
-        keys, owner = keys[new], order[new] + first
-        for level, holders in self.levels:  # merge-scan
-            at = np.searchsorted(level, keys)
-            hit = at < len(level)
-            hit[hit] = level[at[hit]] == keys[hit]
-            self._mark(owner[hit])
-            self._mark(holders[at[hit]])
-            keys, owner = keys[~hit], owner[~hit]
-        if len(keys):
-            self.levels.append((keys, owner))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels[-2:]
-            both, own = np.concatenate([a, b]), np.concatenate([x, y])
-            del self.levels[-2:], a, b
-            order = np.argsort(both, kind="stable")  # two sorted runs: a merge
-            self.levels.append((both[order], own[order]))
+        order, again = suffix_order(data, starts, self.width)
+        twice = again.copy()
+        twice[:-1] |= again[1:]
+        mark[order[twice]] = True
+        order = order[~again]
+        batch = Level(data, starts[order], order + first, self.width)
+        new = np.ones(len(batch), dtype=bool)
+        for level in self.levels:  # merge-scan
+            for lo in range(0, len(batch), _STEP):
+                at, hit = level.locate(batch, slice(lo, lo + _STEP))
+                self._mark(batch.owner[lo : lo + _STEP][hit])
+                self._mark(level.owner[at[hit]])
+                new[lo : lo + _STEP] &= ~hit
+        if new.any():
+            self.levels.append(Level(data, batch.starts[new], batch.owner[new], self.width, batch.prefix[new]))
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(a.merged(b))
 
     def _mark(self, numbers: np.ndarray) -> None:
         if not len(numbers):
@@ -152,6 +219,11 @@ def slabs(b: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _bounded(side: DataFrame, row: int, config: RepeatConfig) -> DataFrame:
+    """side, to be broadcast if its rows, of `row` bytes each, are within the bound."""
+    return F.broadcast(side) if side.count() * row <= config.broadcast_bytes else side
+
+
 def _keys() -> list[Column]:
     text = F.coalesce("text", F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
@@ -238,19 +310,19 @@ def _scan(parts: DataFrame, config: RepeatConfig, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = Family(config.width)
         at: list[tuple[int, int, int, int, int]] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         size = 0
         for b in batches:
             for k1, k2, lo, times, raw in zip(b["k1"], b["k2"], b["lo"], b["times"], b["raw"], strict=True):
-                w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, dtype=np.uint8), config.width)
-                at.append((k1, k2, lo, len(w), times))
-                held.append(w)
-                size += len(w)
+                n = len(raw) - config.width + 1
+                at.append((k1, k2, lo, n, times))
+                held.append(bytes(raw))
+                size += n
                 if size >= config.batch_windows:
-                    family.add(np.concatenate(held))
+                    family.add(held)
                     held, size = [], 0
         if held:
-            family.add(np.concatenate(held))
+            family.add(held)
         mark = family.marks()
         out, first = [], 0
         for k1, k2, lo, m, times in at:
@@ -269,11 +341,12 @@ def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame
     every = _slab_table(docs, config)  # made twice: cheaper than keeping it
     seen = every.groupBy("fp").agg(F.count("*").alias("n"), F.min("slab").alias("a"), F.max("slab").alias("b")).filter("n > 1").select("fp", "n", (F.col("a") != F.col("b")).alias("mixed"))
     seen = materialize(seen, "seen-anchors")  # so that a crowded anchor can be split in the join
-    live = materialize(every.select("k1", "k2", (F.col("lo") * 256 + F.col("hi") - F.col("lo")).alias("place"), "fp", "slab").join(seen, "fp").select("k1", "k2", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("hi"), "fp", "slab", "n", "mixed"), "live-slabs")
+    live = materialize(every.select("k1", "k2", (F.col("lo") * 256 + F.col("hi") - F.col("lo")).alias("place"), "fp", "slab").join(_bounded(seen, 17, config), "fp").select("k1", "k2", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("hi"), "fp", "slab", "n", "mixed"), "live-slabs")
     whole = live.filter("NOT mixed").select("k1", "k2", "lo", "hi")
     mixed = live.filter("mixed")
     kinds = materialize(mixed.groupBy("fp", "slab").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "hi", "n")).alias("at")), "mixed-slabs")
-    copied = mixed.join(kinds.filter("times > 1").select("fp", "slab"), ["fp", "slab"]).select("k1", "k2", "lo", "hi")
+    again = materialize(kinds.filter("times > 1").select("fp", "slab"), "copied-slabs")
+    copied = mixed.join(_bounded(again, 16, config), ["fp", "slab"]).select("k1", "k2", "lo", "hi")  # a hot slab stays where it is
     wanted = kinds.select("fp", "slab", "times", "at.*")
     windows = kinds.agg(F.sum(F.col("at.hi") - F.col("at.lo") + 1)).first()[0] or 0
     n = max(shuffle_partitions(docs.sparkSession), -(-windows // config.family_windows))
@@ -301,7 +374,7 @@ def without_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> D
     ship_package(docs.sparkSession)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     runs = repeats(d, config)
-    few = (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= 2 * config.broadcast_runs
+    few = 8 * (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= config.broadcast_bytes
     keyed = d.select("doc_id", *_keys(), "text")
     if few:
         joined = keyed.withColumnRenamed("text", "body").join(F.broadcast(runs), ["k1", "k2"], "left")

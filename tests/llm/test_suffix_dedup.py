@@ -57,10 +57,33 @@ def test_planted(spark):
 def test_crowded_anchors_and_shuffled_joins(spark):
     docs = spark.createDataFrame(planted(6), "doc_id long, text string")
     for slabs in (10, 1):
-        config = sd.RepeatConfig(anchor_slabs=slabs, broadcast_runs=0, batch_windows=300)
+        config = sd.RepeatConfig(anchor_slabs=slabs, broadcast_bytes=0, batch_windows=300)
         assert got(sd.without_repeats(docs, config).drop("kept")) == brute(planted(6))
 
 
+def test_suffix_order_and_family():
+    rng = np.random.default_rng(2)
+    for width in (3, 8, 20, 200):
+        data = rng.integers(97, 99, 900).astype(np.uint8)
+        data[500:800] = data[100:400]
+        starts = np.arange(0, 900 - width + 1, 1 + width % 3)
+        order, again = sd.suffix_order(data, starts, width)
+        own = [data[s : s + width].tobytes() for s in starts[order]]
+        assert own == sorted(own) and again.tolist() == [False] + [a == b for a, b in zip(own, own[1:], strict=False)]
+    family = sd.Family(20)
+    parts = [rng.integers(97, 100, int(n)).astype(np.uint8).tobytes() for n in rng.integers(20, 120, 300)]
+    parts += [p[: len(p) // 2 + 20] + b"!" for p in parts[::3]]
+    for lo in range(0, len(parts), 7):
+        family.add(parts[lo : lo + 7])
+    every = [p[i : i + 20] for p in parts for i in range(len(p) - 19)]
+    seen = {}
+    for w in every:
+        seen[w] = seen.get(w, 0) + 1
+    assert family.marks().tolist() == [seen[w] > 1 for w in every]
+    sizes = [len(x) for x in family.levels]
+    assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_edge_rows(edge, empty, clash):
     assert got(sd.op3(clash(edge))) == brute([(r[0], r[1]) for r in EDGE])
     assert sd.op3(empty).collect() == []
