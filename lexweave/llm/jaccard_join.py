@@ -49,7 +49,9 @@ class JoinConfig:
     split_similarity: float = 0.65
     recall: float = 0.999
     depth: int = 3
-    small: int = 8192
+    small: int = 512
+    #: Sets of a block where a node that is large to the end is brute-forced.
+    block_sets: int = 8192
     block_docs: int = 2048
     block_grams: int = 1 << 19
     #: Members that may be broadcast to fetch their texts; more are joined by a shuffle.
@@ -264,8 +266,8 @@ def _pivot(big: DataFrame, sketches: DataFrame, config: JoinConfig) -> tuple[Dat
 
 
 def _blocks(rest: DataFrame, config: JoinConfig) -> DataFrame:
-    """node (a pair of blocks), cls, side: large nodes dealt into blocks of about small sets, all pairs of blocks."""
-    blocks = F.ceil(F.col("n") / config.small).cast("int")
+    """node (a pair of blocks), cls, side: large nodes dealt into blocks of about block_sets sets, all pairs of blocks."""
+    blocks = F.ceil(F.col("n") / config.block_sets).cast("int")
     dealt = rest.withColumn("k", blocks).withColumn("b", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("k")).cast("int"))
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return pairs.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "cls", F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"))

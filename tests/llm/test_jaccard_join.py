@@ -71,7 +71,7 @@ def test_edge_rows(edge, empty, clash):
 
 def test_large_nodes_and_blocks(spark):
     rows = near_copies(150, 120, 1) + near_copies(60, 200, 2, 1000) + [(5000 + i, f"alone {i} " + " ".join(f"q{i}_{k}" for k in range(30))) for i in range(50)]
-    config = jj.JoinConfig(small=16, block_docs=32, block_grams=2000)
+    config = jj.JoinConfig(small=16, block_sets=16, block_docs=32, block_grams=2000)
     assert got(jj.join(spark.createDataFrame(rows, "doc_id long, text string"), config)) == brute(rows)
 
 
