@@ -3,8 +3,7 @@
 A text is lower-cased, every run of non-letters becomes one space, and all character
 2-, 3- and 4-grams are hashed into `buckets` rows of an embedding matrix. Their average
 goes through a linear softmax. Both matrices are trained by stochastic gradient descent
-in numpy on a bounded sample (`rows_per_lang` rows of each language, `chars_per_row`
-characters of each); a temperature and a rejection threshold are then calibrated on a
+in numpy on a bounded sample (`rows_per_lang` rows of each language, whole texts); a temperature and a rejection threshold are then calibrated on a
 held-back fifth of that sample. After training, embedding times output matrix is folded
 into one (buckets x languages) table, so a prediction is a gather and a mean over the
 whole text.
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.session import ship_package
+from lexweave.session import materialize, ship_package
 
 _BLOCK = 1 << 17
 _ALPHA: np.ndarray | None = None
@@ -34,7 +33,6 @@ _ALPHA: np.ndarray | None = None
 @dataclass(frozen=True)
 class LangIdConfig:
     rows_per_lang: int = 300
-    chars_per_row: int = 3000
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 4
@@ -84,46 +82,67 @@ def _letters(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grams(c: np.ndarray, held: int, buckets: int) -> np.ndarray:
+    """Hashed 2-, 3- and 4-grams of c that don't lie in its first `held` characters."""
+    grams, h = [], c[:-1] * np.uint32(0x9E3779B1)
+    for n in (2, 3, 4):
+        if len(c) < n:
+            break
+        h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * np.uint32(0x85EBCA77)
+        h = h ^ (h >> np.uint32(15))
+        grams.append(h[max(0, held - n + 1) :] % np.uint32(buckets))
+    return np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint32)
+
+
 def feature_blocks(text: str, buckets: int) -> Iterator[np.ndarray]:
-    """Hashed 2-, 3- and 4-grams of the letters of text, in blocks; nothing if it has no letter."""
-    low = text.lower()
+    """Hashed 2-, 3- and 4-grams of the letters of text, in blocks; nothing if it has no letter.
+
+    Where the blocks end makes no difference: what precedes a block is carried into it."""
+    low, carry, after = text.lower(), np.array([32], dtype=np.uint32), False
     for lo in range(0, len(low), _BLOCK):
-        cp = np.frombuffer(low[max(0, lo - 3) : lo + _BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cp = np.frombuffer(low[lo : lo + _BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _letters(cp)
-        if not letter.any():
-            continue
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one space after each run of letters
-        c = np.concatenate([[32], np.where(letter, cp, 32)[keep], [32]]).astype(np.uint32)
-        grams, h = [], c[:-1] * np.uint32(0x9E3779B1)
-        for n in (2, 3, 4):
-            if len(c) < n:
-                break
-            h = (h[: len(c) - n + 1] ^ c[n - 1 :]) * np.uint32(0x85EBCA77)
-            h = h ^ (h >> np.uint32(15))
-            grams.append(h % np.uint32(buckets))
-        yield np.concatenate(grams)
-
-
-def train(sample: list[tuple[str, str]], config: LangIdConfig = LangIdConfig()) -> LangIdModel:
-    """sample: (lang, text). Every fifth text is held back for calibration."""
-    langs = sorted({lang for lang, _ in sample})
+        keep[0] |= after
+        after = bool(letter[-1])
+        if keep.any():
+            c = np.concatenate([carry, np.where(letter, cp, 32)[keep].astype(np.uint32)])
+            yield _grams(c, len(carry), buckets)
+            carry = c[-3:]
+    if len(carry) > 1:
+        yield _grams(np.concatenate([carry, np.array([32], dtype=np.uint32)]), len(carry), buckets)
+
+
+def units_of(lang: str, text: str, key: int, config: LangIdConfig) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """What training takes from a row: features and their shares of the whole text, and of two short pieces of it."""
+    rng = np.random.default_rng([config.seed, key & 0xFFFFFFFF])
+    pieces = [text]
+    for _ in range(2):
+        n = int(rng.integers(12, 80))
+        start = int(rng.integers(0, max(1, len(text) - n)))
+        pieces.append(text[start : start + n])
+    out = []
+    for piece in pieces:
+        total = np.zeros(config.buckets, dtype=np.int64)
+        for block in feature_blocks(piece, config.buckets):
+            total += np.bincount(block, minlength=config.buckets)
+        idx = np.flatnonzero(total)
+        if len(idx):
+            out.append((lang, idx.astype(np.int32), (total[idx] / total.sum()).astype(np.float32)))
+    return out
+
+
+def train(sample: list[list[tuple[str, np.ndarray, np.ndarray]]], config: LangIdConfig = LangIdConfig()) -> LangIdModel:
+    """sample: the units of each row. Every fifth row is held back for calibration."""
+    langs = sorted({lang for row in sample for lang, _, _ in row})
     if not langs:
         return LangIdModel([], np.zeros((config.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, config)
     rng = np.random.default_rng(config.seed)
     at = {x: i for i, x in enumerate(langs)}
     units, held = [], []
-    for i, (lang, text) in enumerate(sorted(sample)):
-        pieces = [text]
-        for _ in range(2):
-            n = int(rng.integers(12, 80))
-            start = int(rng.integers(0, max(1, len(text) - n)))
-            pieces.append(text[start : start + n])
-        for piece in pieces:
-            blocks = list(feature_blocks(piece, config.buckets))
-            if blocks:
-                idx, cnt = np.unique(np.concatenate(blocks), return_counts=True)
-                (held if i % 5 == 4 else units).append((idx, (cnt / cnt.sum()).astype(np.float32), at[lang]))
+    for i, row in enumerate(sample):
+        (held if i % 5 == 4 else units).extend((idx, weight, at[lang]) for lang, idx, weight in row)
     n_lang = len(langs)
     emb = rng.uniform(-1 / config.dim, 1 / config.dim, (config.buckets, config.dim)).astype(np.float32)
     out, bias = np.zeros((config.dim, n_lang), np.float32), np.zeros(n_lang, np.float32)
@@ -160,25 +179,40 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel:
-    """Bounded sample: rows_per_lang rows with a non-null lang and text, by hash order of doc_id.
+    """Bounded sample: some rows_per_lang rows of each language, whole texts, by hash order of doc_id.
 
-    Ids are ranked first (a window group limit keeps rows_per_lang of each task), texts are
-    fetched for those only; a long text gives chars_per_row characters from a hashed place.
+    A threshold on the hash, from the count of each language, leaves twice as many candidates as are
+    wanted; those alone are ranked. Texts become features where they lie.
     """
     rows = learnable(docs.select("doc_id", "lang", "text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     order = F.xxhash64(F.col("doc_id"), F.lit(config.seed))
+    share = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    n = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = F.broadcast(n) if n.count() <= 100_000 else n
+    few = rows.select("lang", "doc_id", order.alias("o"), share.alias("s")).join(n, "lang").filter(F.col("s") * F.col("n") <= 2 * config.rows_per_lang)
     ids = (
-        rows.select("lang", "doc_id", order.alias("o"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id")))
+        few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id")))
         .filter(F.col("r") <= config.rows_per_lang)
         .select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("sample_lang"))
         .distinct()
     )
-    span = F.greatest(F.lit(1), F.length("text") - config.chars_per_row)
-    got = rows.join(ids, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select(
-        "lang", F.col("text").substr(F.lit(1) + F.pmod(order, span).cast("int"), F.lit(config.chars_per_row)).alias("text")
-    )
-    return train([(r.lang, r.text) for r in got.collect()], config)
+    ids = materialize(ids, "sample-ids")
+    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids  # some 16 bytes each
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, key, text in zip(b["lang"], b["o"], b["text"], strict=True):
+                got = units_of(lang, text, key, config)
+                if got:
+                    yield pd.DataFrame({"lang": lang, "key": key, "unit": range(len(got)), "idx": [x for _, x, _ in got], "weight": [w for _, _, w in got]})
+
+    held = rows.join(ids, (F.col("doc_id") == F.col("sample_id")) & (F.col("lang") == F.col("sample_lang"))).select("lang", order.alias("o"), "text")
+    ship_package(docs.sparkSession)
+    found = held.mapInPandas(run, "lang string, key long, unit int, idx array<int>, weight array<float>").collect()  # rows_per_lang rows of a language, buckets features each
+    sample: dict[tuple, list] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.key, r.unit, r.idx, r.weight)):
+        sample.setdefault((r.lang, r.key), []).append((r.lang, np.array(r.idx, dtype=np.int64), np.array(r.weight, dtype=np.float32)))
+    return train(list(sample.values()), config)
 
 
 def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:

@@ -28,13 +28,14 @@ def test_language_id_without_labels(spark, edge):
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
 
 
-def test_long_text_in_blocks(monkeypatch):
-    text = "the cat sat on the mat and then " * 200
-    a = np.concatenate(list(langid.feature_blocks(text, 1 << 15)))
-    monkeypatch.setattr(langid, "_BLOCK", 100)
-    b = np.concatenate(list(langid.feature_blocks(text, 1 << 15)))
-    assert len(b) >= len(a) and len(np.intersect1d(a, b)) == len(np.unique(a))
-    assert list(langid.feature_blocks("12 3!! ,", 8)) == []
+def test_blocks_make_no_difference(monkeypatch):
+    texts = ["the cat sat on the mat and then " * 20, "a", "ab1c", "x 12 3 yz!", "é" * 99 + "12345 " * 50 + "ö", "12 3!! ,", "", "no  end"]
+    one = [np.concatenate([*langid.feature_blocks(t, 1 << 15), np.zeros(0, np.uint32)]) for t in texts]
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "_BLOCK", size)
+        for t, a in zip(texts, one, strict=True):
+            assert sorted(np.concatenate([*langid.feature_blocks(t, 1 << 15), np.zeros(0, np.uint32)])) == sorted(a)
+    assert not len(one[5]) and not len(one[6]) and len(one[1]) == 2 + 1
 
 
 def test_lm_of_the_table_beats_counts_and_knows_order(spark, corpus, edge):
