@@ -56,8 +56,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _expand(spark: SparkSession, sf_dir: str, how: alignment.Search) -> DataFrame:
     cues = _cues(spark, sf_dir).withColumn("text", script(F.col("text")))
     entries = _entries(spark, sf_dir)
-    # the tables confirm no terms: every term counts as stable at every cue
-    stable = cues.select("doc_id", "cue_index").crossJoin(F.broadcast(entries.select(F.col("term").alias("entity"))))
+    # a term is stable from the cue on that holds it first
+    held = correction.containment_spans(cues, entries.select("surface")).groupBy("doc_id", F.col("surface").alias("entity")).agg(F.min("cue_index").alias("since"))
+    stable = cues.select("doc_id", "cue_index").join(held, "doc_id").filter("cue_index >= since").select("doc_id", "cue_index", "entity")
     return alignment.expand(cues, stable, entries, phonetic.han_readings(spark), how)
 
 

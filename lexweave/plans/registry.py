@@ -30,15 +30,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from lexweave.plans import engine
+    from lexweave.plans import engine, lifecycle
 
-    return {**_QUERIES, **engine.QUERIES}
+    return {**_QUERIES, **engine.QUERIES, **lifecycle.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexweave.plans import engine
+    from lexweave.plans import engine, lifecycle
 
-    return {**_SQL, **engine.SQL}
+    return {**_SQL, **engine.SQL, **lifecycle.SQL}
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +63,14 @@ WORDS = "SELECT DISTINCT lower(regexp_replace(p_name, '[^A-Za-z ]', '', 'g')) AS
 
 
 @query(
-    r"""WITH a AS (SELECT doc_id, regexp_replace(translate(text, '，。！？；：（）【】', ',.!?;:()[]'), '[ \t]+', ' ', 'g') t FROM documents),
+    r"""WITH a AS (SELECT doc_id, regexp_replace(translate(text, '，。！？；：（）【】“”‘’', ',.!?;:()[]""'''''), '[ \t]+', ' ', 'g') t FROM documents),
     b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^[\s]+', ''), '[\s]+$', '') t FROM a),
-    c AS (SELECT doc_id, regexp_replace(t, '\s+([,.!?:;])', '\1', 'g') t FROM b)
-    SELECT doc_id, md5(regexp_replace(t, 'Q1', 'QE', 'gi')) AS normalized FROM c"""
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\s+([,.!?:;])', '\1', 'g'), 'Q1', 'QE', 'gi') t FROM b),
+    d AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z])eq([^A-Za-z]|$)', '\1QE\2', 'gi') t FROM c)
+    SELECT doc_id, md5(regexp_replace(t, '(^|[^A-Za-z])eq([^A-Za-z]|$)', '\1QE\2', 'gi')) AS normalized FROM d"""
 )
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.translate("text", "，。！？；：（）【】", ",.!?;:()[]")
-    for pattern, to in (("[ \t]+", " "), (r"^\s+", ""), (r"\s+$", ""), (r"\s+([,.!?:;])", "$1"), ("(?i)Q1", "QE")):
-        t = F.regexp_replace(t, pattern, to)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("normalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normalized"))
 
 
 @query(
@@ -165,25 +163,6 @@ def alias_policy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.resolve_policy(p)
 
 
-@query(
-    """WITH inc AS (SELECT p_name term, p_type category, coalesce(p_brand, '') parent, p_retailprice trust FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type, coalesce(p_brand, '') ORDER BY p_partkey DESC) = 1)
-    SELECT term, category, parent, trust FROM inc"""
-)
-def upsert_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("category"), F.coalesce("p_brand", F.lit("")).alias("parent"), "p_partkey", "p_retailprice")
-    return d.groupBy("term", "category", "parent").agg(F.max_by("p_retailprice", "p_partkey").alias("trust"))
-
-
-@query(
-    """SELECT s_suppkey, min(n_name) AS nation, list_aggregate(list_sort(list(DISTINCT p.c_mktsegment)), 'string_agg', ',') AS related
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer p ON p.c_nationkey = s_nationkey GROUP BY s_suppkey"""
-)
-def knowledge_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("related"))
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(segments, F.col("s_nationkey") == F.col("k")).select("s_suppkey", F.col("n_name").alias("nation"), "related")
-
-
 # ---- ordered and stateful --------------------------------------------------------------------
 
 
@@ -336,15 +315,6 @@ def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.top_candidates(c).select("doc_id", "value", "score", "rank")
 
 
-@query(
-    """SELECT l_returnflag AS surface, l_linestatus AS corrected, avg(l_discount) AS confidence, count(*) AS n FROM lineitem WHERE false GROUP BY ALL
-    UNION ALL SELECT CAST(l_partkey AS VARCHAR) || '---', min(l_linestatus), round(avg(0.9 + l_discount), 9), count(*) FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_linestatus) = 1"""
-)
-def reuse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("seq"), F.concat(F.col("l_partkey").cast("string"), F.lit("---")).alias("surface"), F.col("l_linestatus").alias("corrected"), (0.9 + F.col("l_discount")).alias("confidence"))
-    return correction.learn_rules(d).withColumn("confidence", F.round("confidence", 9))
-
-
 @query(f"SELECT doc_id, cue_index, md5(replace(text, 'tion', 'SSION')) AS edited FROM ({CUES})")
 def commit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = _spans(spark, sf_dir).filter("surface = 'tion'").withColumn("replacement", F.lit("SSION")).withColumn("start_char", F.col("start_char").cast("int")).withColumn("end_char", F.col("end_char").cast("int"))
@@ -399,13 +369,13 @@ def lm_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT p_partkey id, regexp_replace(p_name, '[^A-Za-z]', '', 'g') s FROM part), g AS (SELECT id, substr(s, i, n) gram, n FROM t, (VALUES (2), (3)) v(n), LATERAL (SELECT unnest(range(1, length(s) - n + 2)) i)),
-    c AS (SELECT gram, n, count(*) cnt FROM g WHERE id % 2 = 0 GROUP BY gram, n), tot AS (SELECT n, sum(cnt)::double total FROM c GROUP BY n),
+    c AS (SELECT gram, n, count(*) cnt FROM g GROUP BY gram, n), tot AS (SELECT n, sum(cnt)::double total FROM c GROUP BY n),
     s AS (SELECT id, avg(CASE WHEN n = 2 THEN least(coalesce(cnt, 0) / greatest(1.0, total * 0.001), 1.0) END) bi, avg(CASE WHEN n = 3 THEN least(coalesce(cnt, 0) / greatest(1.0, total * 0.001), 1.0) END) tri, avg(CASE WHEN n = 2 THEN CASE WHEN cnt IS NULL THEN 0.0 ELSE 1.0 END END) cover FROM g LEFT JOIN c USING (gram, n) JOIN tot USING (n) GROUP BY id)
     SELECT id, round((coalesce(bi, 0.5) + coalesce(tri, 0.5) + coalesce(cover, 0.5)) / 3, 6) AS score FROM t LEFT JOIN s USING (id)"""
 )
 def lm_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace("p_name", "[^A-Za-z]", "").alias("text"))
-    return corpus.score_texts(p, corpus.ngram_counts(p.filter("id % 2 = 0"))).select("id", F.round("score", 6).alias("score"))
+    return corpus.score_texts(p, corpus.ngram_counts(p)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -421,25 +391,6 @@ def alias_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.mine_aliases(seen, corpus.alias_candidates(terms)).withColumn("confidence", F.round("confidence", 9))
 
 
-@query(
-    """WITH r AS (SELECT CASE WHEN quality = 0 THEN 'pending' ELSE 'approved' END status, toxic = 1 AS ambiguous, (doc_id % 100) / 100.0::double AS confidence FROM labels)
-    SELECT CASE WHEN status <> 'pending' THEN status WHEN ambiguous THEN 'needs_context' WHEN confidence >= 0.85 THEN 'approved' ELSE 'pending' END AS routed, count(*) AS n FROM r GROUP BY 1"""
-)
-def alias_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "pending").otherwise("approved").alias("status"), (F.col("toxic") == 1).alias("ambiguous"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"))
-    return corpus.review(r).groupBy("routed").agg(F.count("*").alias("n"))
-
-
-@query(
-    """WITH a AS (SELECT p_brand canonical, p_name alias FROM part), f AS (SELECT canonical, alias, count(*) OVER (PARTITION BY canonical) n, min(alias) OVER (PARTITION BY canonical) keep FROM (SELECT DISTINCT * FROM a))
-    SELECT canonical, alias, CASE WHEN n = 1 THEN 1 WHEN alias = keep THEN 1 ELSE 3 END AS tier FROM f"""
-)
-def alias_clean_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("canonical"), F.col("p_name").alias("alias")).distinct()
-    keep = d.groupBy("canonical").agg(F.min("alias").alias("keep"))
-    return d.join(keep, "canonical").select("canonical", "alias", F.when(F.col("alias") == F.col("keep"), 1).otherwise(3).alias("tier"))
-
-
 @query("SELECT a.n_name AS l, b.r_name AS r, round(1 - levenshtein(a.n_name, b.r_name) / greatest(length(a.n_name), length(b.r_name)), 9) AS similarity FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey")
 def levenshtein_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

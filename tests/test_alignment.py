@@ -94,10 +94,13 @@ def test_simplified(spark):
     assert spark.createDataFrame([("龍馬還臺灣",)], "t string").select(phonetic.simplified(spark, F.col("t"))).first()[0] == "龙马还台湾"
 
 
-def test_expansion_sees_every_cue_and_term(spark, monkeypatch):
+def test_expansion_takes_terms_from_where_they_stand_first(spark, monkeypatch):
     from lexweave.plans import engine
 
     monkeypatch.setattr(A, "expand", lambda cues, stable, *a: stable)
     sf = "/root/testdata/sf0.001"
-    got = engine.expand_local_term(spark, sf).distinct().count()
-    assert got == engine._cues(spark, sf).select("doc_id", "cue_index").distinct().count() * engine._entries(spark, sf).select("term").distinct().count()
+    got = {tuple(r) for r in engine.expand_local_term(spark, sf).collect()}
+    cues = engine._cues(spark, sf).select("doc_id", "cue_index", engine.script(engine.F.col("text")).alias("t")).collect()
+    names = [r.term for r in engine._entries(spark, sf).select("term").distinct().collect()]
+    want = {(c.doc_id, c.cue_index, n) for c in cues for n in names if any(x.doc_id == c.doc_id and x.cue_index <= c.cue_index and n in x.t for x in cues)}
+    assert got == want and want
