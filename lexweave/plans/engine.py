@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import phonetic
-from lexweave.operators import alignment, correction, corpus, decisions, diagnosis, evidence, language, ordered, reports, team, topics
+from lexweave.operators import alignment, correction, corpus, decisions, diagnosis, evidence, language, ordered, production, reports, team, topics
 from lexweave.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +57,7 @@ def _expand(spark: SparkSession, sf_dir: str, how: alignment.Search) -> DataFram
     cues = _cues(spark, sf_dir).withColumn("text", script(F.col("text")))
     entries = _entries(spark, sf_dir)
     # a term is stable from the cue on that holds it first
-    held = correction.containment_spans(cues, entries.select("surface")).groupBy("doc_id", F.col("surface").alias("entity")).agg(F.min("cue_index").alias("since"))
-    stable = cues.select("doc_id", "cue_index").join(held, "doc_id").filter("cue_index >= since").select("doc_id", "cue_index", "entity")
-    return alignment.expand(cues, stable, entries, phonetic.han_readings(spark), how)
+    return alignment.expand(cues, production.standing(cues, entries), entries, phonetic.han_readings(spark), how)
 
 
 @query()
@@ -285,3 +283,10 @@ def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(decisions.number(_expand(spark, sf_dir, alignment.CONSISTENCY).withColumn("evidence_type", F.col("source"))), "found")
     clustered = topics.clusters(cues.groupBy("doc_id", F.floor(F.col("cue_index") / 4).alias("chunk_id")).agg(F.min("cue_index").alias("lo"), F.max("cue_index").alias("hi"), F.array_sort(F.collect_set("role")).alias("entities")).withColumn("categories", F.col("entities")).withColumn("signals", F.array().cast("array<string>")))
     return decisions.parse(decisions.ask(decisions.batches(cues, found, clustered), decisions.RuleDecider(0.75)), found)[0]
+
+
+@query()
+def corrected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the script, corrected by the words of the part names; tested against its own edits by plain Python."""
+    cues = _cues(spark, sf_dir).select("doc_id", "cue_index", script(F.col("text")).alias("text"))
+    return production.correct(cues, _entries(spark, sf_dir), phonetic.han_readings(spark), decisions.RuleDecider(0.75))["text"].select("doc_id", "cue_index", "edited")

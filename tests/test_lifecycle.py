@@ -265,5 +265,27 @@ def test_normalize(spark):
     assert [r[0] for r in d.collect()] == ["a, QE QE beq", "", None]
 
 
-def test_streaming_module_is_importable():
-    assert memory
+
+
+def test_the_whole_way(spark):
+    from lexweave.operators import decisions, production
+
+    cues = spark.createDataFrame([(1, 0, "芙宁娜来了"), (1, 1, "弗丽娜出场"), (1, 2, "没有什么"), (2, 0, "弗丽娜出场"), (1, 3, None)], "doc_id long, cue_index long, text string")
+    entries = spark.createDataFrame([("芙宁娜", "芙宁娜", "character", "", 0), ("那维莱特", "那维莱特", "character", "", 1)], "surface string, term string, category string, parent string, seq long")
+    readings = phonetic.han_readings(spark)
+    out = production.correct(cues, entries, readings, decisions.RuleDecider(0.75))
+    text = {(r.doc_id, r.cue_index): r.edited for r in out["text"].collect()}
+    # the name stands in document 1 only
+    assert text == {(1, 0): "芙宁娜来了", (1, 1): "芙宁娜出场", (1, 2): "没有什么", (2, 0): "弗丽娜出场", (1, 3): None}
+    held = spark.createDataFrame([("弗丽娜", "preserve_surface", "registry")], "surface string, policy string, source string")
+    kept = production.correct(cues, entries, readings, decisions.RuleDecider(0.75), policies=held)
+    assert {r.edited for r in kept["text"].collect()} == {r.text for r in cues.collect()}
+    assert production.correct(cues, entries.limit(0), readings, decisions.NoDecider())["edits"].collect() == []
+
+
+def test_activity_windows_as_a_stream(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:05:00", "a"), ("2024-01-01 00:40:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, entity string").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, entity string").json(str(tmp_path / "in"))
+    q = memory.activity(stream).writeStream.outputMode("complete").format("memory").queryName("activity").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.entity, r.n) for r in spark.sql("select * from activity").collect()) == [("a", 2), ("b", 1)]
