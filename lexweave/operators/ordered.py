@@ -53,6 +53,26 @@ def entity_memory(activations: DataFrame, least: float = 0.2) -> DataFrame:
     return acts.withColumn("s", F.aggregate("acts", start, step)).select("doc_id", "entity", F.col("s.n").alias("refreshes"), F.col("s.last").alias("last_cue"))
 
 
+def memory_before(cues: DataFrame, activations: DataFrame, least: float = 0.2) -> DataFrame:
+    """doc_id, cue_index, entity, weight: what each cue(doc_id, cue_index) finds before it activates anything itself.
+
+    The state after each activation comes from one fold per (doc, entity); a cue reads that of the last
+    activation before it, decayed by the cues between. Entities below `least` are forgotten."""
+    acts = activations.groupBy("doc_id", "entity").agg(F.array_sort(F.collect_set(F.col("cue_index").cast("long"))).alias("acts"))
+    none = F.expr("cast(array() as array<struct<n:int,last:bigint>>)")
+
+    def step(done: Column, x: Column) -> Column:
+        s = F.element_at(done, -1)
+        lost = (F.size(done) == 0) | (F.pow(retention(s["n"]), x - s["last"]) < least)
+        n = F.when(lost, 0).when(retention(s["n"]) == 1.0, s["n"]).otherwise(s["n"] + 1)
+        return F.concat(done, F.array(F.struct(n.cast("int").alias("n"), x.alias("last"))))
+
+    held = acts.withColumn("s", F.aggregate("acts", none, step))
+    state = held.select("doc_id", "entity", F.explode(F.transform("s", lambda x, i: F.struct(x["n"].alias("n"), x["last"].alias("last"), F.get("acts", i + 1).alias("next")))).alias("x")).select("doc_id", "entity", "x.*")
+    near = state.join(cues.select("doc_id", "cue_index").distinct(), "doc_id").filter((F.col("cue_index") > F.col("last")) & (F.col("next").isNull() | (F.col("cue_index") <= F.col("next"))))
+    return near.select("doc_id", "cue_index", "entity", F.pow(retention(F.col("n")), F.col("cue_index") - F.col("last")).alias("weight")).filter(F.col("weight") >= least)
+
+
 def category_state(cues: DataFrame, active: Column, rate: float = 0.7, least: float = 0.3) -> DataFrame:
     """Adds weight of the category after each cue: 1 when active, decaying since, 0 once below least."""
     last = F.last(F.when(active, F.col("cue_index")), ignorenulls=True).over(by_cue().rowsBetween(Window.unboundedPreceding, 0))

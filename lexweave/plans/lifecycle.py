@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import aliases, cards, discovery, evaluation, lookup, ordered, terms
 from lexweave.session import table
-from lexweave.sources import guide, lexicons
+from lexweave.sources import guide, lexicons, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -467,6 +467,22 @@ def reuse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.withColumn("confidence", F.round("confidence", 9))
 
 
+RETENTION = "CASE WHEN n >= 5 THEN 1.0::double ELSE least(0.98::double, 0.8::double + n * 0.04::double) END"
+
+
+@query(
+    f"""WITH RECURSIVE a AS (SELECT doc_id, entity, cue_index, row_number() OVER (PARTITION BY doc_id, entity ORDER BY cue_index) AS k FROM ({ACTS})),
+    s AS (SELECT doc_id, entity, k, 0 AS n, cue_index AS last FROM a WHERE k = 1
+      UNION ALL SELECT a.doc_id, a.entity, a.k, CASE WHEN pow({RETENTION}, a.cue_index - s.last) < 0.2::double THEN 0 WHEN n >= 5 THEN n ELSE n + 1 END, a.cue_index FROM s JOIN a ON a.doc_id = s.doc_id AND a.entity = s.entity AND a.k = s.k + 1),
+    t AS (SELECT doc_id, entity, n, last, lead(last) OVER (PARTITION BY doc_id, entity ORDER BY k) AS nxt FROM s),
+    w AS (SELECT t.doc_id, c.cue_index, t.entity, pow({RETENTION}, c.cue_index - last) AS weight FROM t JOIN ({ACTS}) c ON c.doc_id = t.doc_id AND c.cue_index > last AND (nxt IS NULL OR c.cue_index <= nxt))
+    SELECT doc_id, cue_index, entity, round(weight, 9) AS weight FROM w WHERE weight >= 0.2::double"""
+)
+def memory_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _acts(spark, sf_dir)
+    return ordered.memory_before(a, a).withColumn("weight", F.round("weight", 9))
+
+
 # ---- evaluation ----------------------------------------------------------------------------
 
 OUTCOMES = f"""WITH c AS (SELECT doc_id, cue_index, text raw, replace(text, 'th', 'TH') fixed, replace(text, 'tion', 'sion') gold FROM ({CUES})), n AS (SELECT *, regexp_replace(raw, '\\s+', '', 'g') r, regexp_replace(fixed, '\\s+', '', 'g') f, regexp_replace(gold, '\\s+', '', 'g') g FROM c),
@@ -546,6 +562,17 @@ def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.kept_model(grams, contexts, 40)[0].select("gram", "n", "cnt")
 
 
+@query(f"SELECT doc_id, cue_index, role AS style, cue_index * 1000 + 10 AS start_ms, cue_index * 1000 + 3600500 AS end_ms, text FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cue_index) - 1 AS cue_index, role, left(regexp_replace(text, '\\s+', ' ', 'g'), 60) AS text FROM ({CUES}))")
+def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ordered.Window.partitionBy("doc_id").orderBy("cue_index")
+    d = _cues(spark, sf_dir).withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    text = F.regexp_replace(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60), "^ | $", " ")
+    line = F.format_string("Dialogue: 0,0:%02d:%02d.01,1:%02d:%02d.50,%s,,0,0,0,,%s", F.floor(F.col("i") / 60), F.col("i") % 60, F.floor(F.col("i") / 60), F.col("i") % 60, F.col("role"), text)
+    head = F.lit("[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n")
+    files = d.groupBy("doc_id").agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n")).alias("value"))
+    return subtitles.parse_ass(files)
+
+
 # ---- guide corpus --------------------------------------------------------------------------
 
 

@@ -289,3 +289,45 @@ def test_activity_windows_as_a_stream(spark, tmp_path):
     q = memory.activity(stream).writeStream.outputMode("complete").format("memory").queryName("activity").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.entity, r.n) for r in spark.sql("select * from activity").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_ass_and_one_file_for_each_document(spark, tmp_path):
+    ass = "\ufeff[Script Info]\r\n[Events]\r\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\r\nDialogue: 0,0:00:01.05,1:02:03.50,Top,,0,0,0,,one, two\\Nthree\r\nComment: 0,0:00:01.00,0:00:02.00,x,,0,0,0,,no\r\nDialogue: broken\r\n"
+    (tmp_path / "a.ass").write_bytes(ass.encode())
+    got = subtitles.read_ass(spark, str(tmp_path / "a.ass")).collect()
+    assert [tuple(r)[1:] for r in got] == [(0, "Top", 1050, 3723500, "one, two\\Nthree")]
+    cues = spark.createDataFrame([("x", 1, 5, 6, "b"), ("x", 0, 1, 2, "a\nc"), ("y", 0, 3, 4, "d")], "doc_id string, cue_index long, start_ms long, end_ms long, text string")
+    subtitles.write_documents(cues, str(tmp_path / "out"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("*/part-*")}
+    assert len(files) == 2 and files["doc_id=x"].startswith("1\n00:00:00,001 --> 00:00:00,002\na\nc\n\n2\n")
+    assert subtitles.parse_ass(spark.createDataFrame([(1, None), (2, "")], "doc_id long, value string")).collect() == []
+
+
+def test_settings():
+    from lexweave import settings
+
+    s = settings.from_mapping({"matcher": {"fuzzy_threshold": 80}, "categories": {"hot": ["a"]}, "chunk_size": 5, "chunk_overlap": 1})
+    assert (s.matcher.fuzzy_threshold, s.matcher.max_candidates, s.categories.hot, s.chunk_size) == (80, 8, ("a",), 5)
+    for bad, why in (({"matcher": {"odd": 1}}, "unknown setting matcher.odd"), ({"entity_memory": {"decay_rate": 2}}, "between"), ({"normalization": {"spacing": 1}}, "must be like"), ({"chunk_size": "x"}, "must be like")):
+        with pytest.raises(ValueError, match=why):
+            settings.from_mapping(bad)
+    assert settings.load() == settings.Settings()
+
+
+def test_memory_before_by_a_loop(spark):
+    from lexweave.operators import ordered
+
+    acts = [(1, "a", c) for c in (0, 3, 4, 9, 30)] + [(1, "b", 2), (2, "a", 1)]
+    cues = [(d, c) for d in (1, 2) for c in range(35)]
+    want = set()
+    for d, c in cues:
+        for e in "ab":
+            n, last = None, None
+            keep = lambda n: 1.0 if n >= 5 else min(0.98, 0.8 + n * 0.04)
+            for x in sorted(k for dd, ee, k in acts if (dd, ee) == (d, e) and k < c):
+                n = 0 if n is None or keep(n) ** (x - last) < 0.2 else n + (keep(n) != 1.0)
+                last = x
+            if n is not None and keep(n) ** (c - last) >= 0.2:
+                want.add((d, c, e, round(keep(n) ** (c - last), 9)))
+    got = ordered.memory_before(spark.createDataFrame(cues, "doc_id long, cue_index long"), spark.createDataFrame(acts, "doc_id long, entity string, cue_index long"))
+    assert {(r.doc_id, r.cue_index, r.entity, round(r.weight, 9)) for r in got.collect()} == want
