@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.session import materialize
 
 
 def exact_dedup(articles: DataFrame, least: int = 200) -> DataFrame:
@@ -57,8 +58,20 @@ def review(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(sets: DataFrame, least: float = 0.4) -> DataFrame:
-    """sets(id, items): pairs above least. Candidates share an item, so no pair without overlap is made."""
-    e = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    a, b = e.select(F.col("id").alias("a"), F.col("n").alias("na"), "item"), e.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
-    p = a.join(b, "item").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return p.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).filter(F.col("jaccard") > least)
+    """sets(id, items): pairs above least, which is above 0. Null items don't count, repeated ones once.
+
+    Items are ordered from rare to frequent; two sets that are so alike share one of the first
+    n - ceil(least * n) + 1 of either, so only those are joined and a frequent item meets few others."""
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    e = sets.select("id", F.explode("items").alias("item")).filter("item IS NOT NULL").distinct()
+    order = e.join(e.groupBy("item").agg(F.count("*").alias("c")), "item")
+    held = order.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("o"))
+    held = materialize(held.select("id", F.transform("o", lambda x: x["item"]).alias("items")), "ordered-sets")
+    n = F.size("items")
+    first = held.select("id", n.alias("n"), F.explode(F.slice("items", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("item"))
+    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "item"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
+    near = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    p = near.join(held.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    k = F.size(F.array_intersect("x", "y"))
+    return p.select("a", "b", (k / (F.size("x") + F.size("y") - k)).alias("jaccard")).filter(F.col("jaccard") > least)

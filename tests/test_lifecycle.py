@@ -331,3 +331,16 @@ def test_memory_before_by_a_loop(spark):
                 want.add((d, c, e, round(keep(n) ** (c - last), 9)))
     got = ordered.memory_before(spark.createDataFrame(cues, "doc_id long, cue_index long"), spark.createDataFrame(acts, "doc_id long, entity string, cue_index long"))
     assert {(r.doc_id, r.cue_index, r.entity, round(r.weight, 9)) for r in got.collect()} == want
+
+
+def test_jaccard_pairs_by_a_loop(spark):
+    import random
+
+    from lexweave.operators import corpus
+
+    rng = random.Random(2)
+    sets = [(i, [rng.choice([0, 0, 0, *range(1, 12)]) for _ in range(rng.randrange(0, 9))]) for i in range(60)] + [(60, None), (61, [None, 1])]
+    for least in (0.2, 0.4, 0.75, 1.0):
+        want = {(a, b, round(j, 9)) for a, x in sets for b, y in sets if a < b and x and y for p, q in [({*x} - {None}, {*y} - {None})] for j in [len(p & q) / len(p | q)] if j > least}
+        got = corpus.jaccard_pairs(spark.createDataFrame(sets, "id long, items array<int>"), least).collect()
+        assert {(r.a, r.b, round(r.jaccard, 9)) for r in got} == want
