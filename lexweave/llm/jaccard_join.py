@@ -373,16 +373,16 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 
 def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """docs with one row of each class: its least (doc_id, text hash). Texts without a set all stay."""
-    names = docs.columns
-    got = join(docs, config)
+    got = join(docs.select("doc_id", "text"), config)
     chosen = got.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("c"))
     alone = got.filter("class_key IS NULL").select("doc_id", "_k1", "_k2").distinct()
     keep = chosen.select("c.*", F.lit(True).alias("_one")).unionByName(alone.withColumn("_one", F.lit(False)))
     keep = keep.select(F.col("doc_id").alias("_kd"), F.col("_k1").alias("_kk1"), F.col("_k2").alias("_kk2"), "_one")
-    d = docs.withColumns({"_k1": F.coalesce(F.xxhash64("text"), F.lit(0)), "_k2": F.coalesce(F.xxhash64(F.lit(1), F.col("text")), F.lit(0))})
-    d = d.join(keep, d.doc_id.eqNullSafe(F.col("_kd")) & (F.col("_k1") == F.col("_kk1")) & (F.col("_k2") == F.col("_kk2")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # kept whole: its names may be those used here
+    d = docs.select(row, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_k1"), F.coalesce(F.xxhash64(F.lit(1), F.col("text")), F.lit(0)).alias("_k2"))
+    d = d.join(keep, F.col("_row.doc_id").eqNullSafe(F.col("_kd")) & (F.col("_k1") == F.col("_kk1")) & (F.col("_k2") == F.col("_kk2")))
     one = d.filter("_one").dropDuplicates(["_kd", "_kk1", "_kk2"])
-    return one.select(*names).unionByName(d.filter("NOT _one").select(*names))
+    return one.select("_row.*").unionByName(d.filter("NOT _one").select("_row.*"))
 
 
 def op2(docs: DataFrame) -> DataFrame:

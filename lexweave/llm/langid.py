@@ -234,7 +234,9 @@ def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LangIdModel) -> DataFrame:
-    """Rows of docs that the model does not reject, with all their columns."""
+    """Rows of docs that the model does not reject, with all their columns; all of them if it has learnt no language."""
+    if not model.langs:
+        return docs
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

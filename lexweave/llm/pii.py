@@ -181,8 +181,8 @@ def sanitise(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) ->
     """docs with text generalised: every span, overlapping ones merged into the first, becomes <KIND>.
 
     A null text stays null."""
-    names = docs.columns
-    d = find(docs.withColumn("_null", F.col("text").isNull()), limits).withColumn("_all", F.sort_array(F.concat(*[f"_{k}" for k in KINDS])))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # kept whole: its names may be those used here
+    d = find(docs.select(row, "text", F.col("text").isNull().alias("_null")), limits).withColumn("_all", F.sort_array(F.concat(*[f"_{k}" for k in KINDS])))
     d = d.withColumn("_ends", F.col("_all.end"))
     d = d.withColumn("_top", running(F.col("_ends"), lambda x, y: F.greatest(x, y), F.lit(0)))
     heads = F.transform("_all", lambda x, i: F.struct(F.coalesce(F.get("_top", i - 1), F.lit(0)).alias("a"), x["start"].alias("z"), x["kind"].alias("kind")))
@@ -195,7 +195,7 @@ def sanitise(docs: DataFrame, limits: DisclosureLimits = DisclosureLimits()) ->
     d = d.withColumn("_parts", F.transform("_whole", lambda w: F.array_join(F.transform(w["x"], lambda x: piece(w, x)), "")))
     done = F.concat(F.array_join("_parts", ""), F.substring(F.col("text"), F.element_at("_top", -1) + 1, F.length("text")))
     text = F.when(F.col("_null"), F.lit(None)).when(F.size("_heads") > 0, done).otherwise(F.col("text"))
-    return d.withColumn("text", text).select(*names)
+    return d.withColumn("_row", F.col("_row").withField("text", text)).select("_row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:

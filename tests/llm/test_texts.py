@@ -90,7 +90,7 @@ def test_packing(spark, corpus, edge, empty, clash):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for rows, docs in ((corpus[:300], spark.createDataFrame(corpus[:300], edge.schema)), (EDGE, clash(edge))):
+    for rows, docs in ((corpus, spark.createDataFrame(corpus, edge.schema)), (EDGE, clash(edge))):
         want = Counter()
         for r in rows:
             ids = np.array([*exact.encode(r[1] or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -255,3 +255,23 @@ def test_pipeline(spark, corpus, edge):
     assert safe.columns == docs.columns and safe.count() == len(classes - bad)
     whole = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in whole.collect()} == classes - bad
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge, empty, clash):
+    extra = [c for c in clash(edge).columns if c not in edge.columns]
+    by_name = dict(corpus_pipeline.STAGES)
+    for docs in (edge, clash(edge), empty, clash(empty)):
+        rows = 0 if docs.isEmpty() else len(EDGE)
+        left = {}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SF)
+            assert got.columns == docs.columns
+            left[name] = got.collect()
+            assert all(r[c] == "clash" for r in left[name] for c in extra if c in docs.columns)
+        assert {r.doc_id for r in left["language_id"]} & {1, 2, 3} == set()
+        assert len(left["ngram_jaccard_join"]) == max(0, rows - 1) and len(left["benchmark_decontamination"]) == len(left["pii"]) == rows
+        assert all(r.text is None and r.n_chars == 0 for r in left["pii"] if r.doc_id == 1)
+        packed = by_name["bestfit_packing"](spark, docs, SF).collect()
+        assert sum(r.piece == 0 for r in packed) == rows
+    unlabelled = edge.withColumn("lang", edge["lang"].substr(1, 0)).withColumn("lang", edge["source"].substr(9, 0)).na.replace("", None, ["lang"])
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == len(EDGE)
