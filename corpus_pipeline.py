@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each
 stage's result as Parquet and rereads it as the next one's docs. All but the last return the columns
-of `documents`; n_chars follows the text where a stage changes it.
+of `documents`; n_chars follows the text where a stage changes it. Columns beside those are kept, whatever their names,
+and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,31 +16,40 @@ from lexweave.session import materialize, ship_package, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the identifier rejects go; it learns from the labelled rows of its input."""
+    """Documents that the identifier rejects go; it learns from the labelled rows of its input.
+
+    Null texts and texts without a letter are rejected, equal rows are judged alike, and without any
+    labelled row every document stays."""
     ship_package(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar documents stays: the one with the least doc_id."""
+    """One document of each group of similar documents stays: the one with the least doc_id.
+
+    Null and wordless texts are like no other and all stay; of equal rows one stays."""
     ship_package(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go.
+
+    Null texts hold none, and an empty benchmark takes nothing."""
     ship_package(spark)
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it are generalised; no document goes."""
+    """Personal data and the terms that reveal it are generalised; no document goes.
+
+    Null texts stay null and keep their n_chars."""
     ship_package(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, placed in sequences."""
+    """Pieces of token ids, placed in sequences: a null text is an empty one, of one piece with the end token."""
     ship_package(spark)
     return packing.pack(docs)
 
