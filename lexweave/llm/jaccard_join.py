@@ -49,7 +49,7 @@ class JoinConfig:
     split_similarity: float = 0.65
     recall: float = 0.999
     depth: int = 3
-    small: int = 512
+    small: int = 8192
     #: Sets of a block where a node that is large to the end is brute-forced.
     block_sets: int = 8192
     block_docs: int = 2048
