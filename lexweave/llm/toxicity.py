@@ -28,9 +28,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ from lexweave.llm.langid import learnable
 from lexweave.session import materialize, ship_package
 
 _WORD = re.compile(r"\w+")
+#: Words of more letters are told apart by a hash.
+_LONG = 64
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,7 @@ class ToxicityConfig:
     epochs: int = 30
     threshold: float = 0.7
     broadcast_rows: int = 1_000_000
+    held_terms: int = 30_000
     seed: int = 5
 
 
@@ -76,6 +81,8 @@ class Lexicon:
 
     def of(self, word: str) -> tuple[int, ...]:
         """Numbers of the terms that the word is."""
+        if len(word) > _LONG:
+            return tuple(self.at[t] for t in terms_of(word, self.config) if t in self.at)
         got = self._seen.get(word)
         if got is None:
             if len(self._seen) > 300_000:
@@ -99,8 +106,15 @@ class Lexicon:
         return x
 
 
-def terms_of(word: str, config: ToxicityConfig) -> list[str]:
-    return [word, *(word[:k] + "*" for k in config.stems if len(word) > k and word[:k].isalpha())]
+def terms_of(word: str, config: ToxicityConfig) -> tuple[str, ...]:
+    """The word, and its beginnings."""
+    return _terms(word, config.stems) if len(word) <= _LONG else _terms.__wrapped__(word, config.stems)
+
+
+@lru_cache(maxsize=200_000)
+def _terms(word: str, stems: tuple[int, ...]) -> tuple[str, ...]:
+    whole = word if len(word) <= _LONG else "#" + xxhash.xxh64_hexdigest(word.encode("utf-8", "surrogatepass"))
+    return (whole, *(word[:k] + "*" for k in stems if len(word) > k and word[:k].isalpha()))
 
 
 def votes(x: np.ndarray, m: int) -> np.ndarray:
@@ -200,24 +214,30 @@ def _bit(before: str, after: str) -> int:
     return 1 << (xxhash.xxh32_intdigest(f"{before} {after}") & 63)
 
 
+def add_terms(held: dict[str, list[int]], text: str | None, y: int, config: ToxicityConfig) -> None:
+    """Adds a text to held: for each term, times in clean and in toxic texts (two a text at most), toxic texts, and a
+    map of neighbours there."""
+    words = _WORD.findall((text or "").lower())
+    own: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        for t in terms_of(w, config):
+            own[t] += n
+    for t, n in own.items():
+        x = held.setdefault(t, [0, 0, 0, 0])
+        x[y] += min(n, 2)
+        x[2] += y
+    if y:
+        for a, w, b in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+            bit = _bit(a, b)
+            for t in terms_of(w, config):
+                held[t][3] |= bit
+
+
 def count_terms(rows: Iterator[tuple[str | None, int]], config: ToxicityConfig) -> dict[str, list[int]]:
-    """For each term: times in clean and in toxic texts (two a text at most), toxic texts, and a map of neighbours there."""
+    """add_terms() of all rows."""
     held: dict[str, list[int]] = {}
     for text, y in rows:
-        words = _WORD.findall((text or "").lower())
-        own: Counter[str] = Counter()
-        for w, n in Counter(words).items():
-            for t in terms_of(w, config):
-                own[t] += n
-        for t, n in own.items():
-            x = held.setdefault(t, [0, 0, 0, 0])
-            x[y] += min(n, 2)
-            x[2] += y
-        if y:
-            for a, w, b in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                bit = _bit(a, b)
-                for t in terms_of(w, config):
-                    held[t][3] |= bit
+        add_terms(held, text, y, config)
     return held
 
 
@@ -273,20 +293,25 @@ def labelled(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Data
 def mine(rows: DataFrame, config: ToxicityConfig) -> tuple[Lexicon, tuple[int, int]]:
     """Lexicon of rows(text, y), and the numbers of clean and toxic rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(held: dict[str, list[int]]) -> pa.RecordBatch:
+        x = np.array(list(held.values()), dtype=np.uint64).view(np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(x[:, i].copy()) for i in range(4))], names=["term", "clean", "toxic", "docs", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
         for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo : lo + 500]
-                held = count_terms(zip(part["text"], part["y"], strict=True), config)
-                t = pd.DataFrame(list(held.values()), columns=["clean", "toxic", "docs", "near"], dtype=np.uint64).astype(np.int64)
-                t.insert(0, "term", list(held))
-                yield t
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                add_terms(held, text, y, config)
+                if len(held) > config.held_terms:
+                    yield batch(held)
+                    held = {}
+        yield batch(held)
 
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     size = (n.get(0, 0), n.get(1, 0))
     if not all(size):
         return Lexicon([], config), size
-    counted = rows.select("text", "y").mapInPandas(run, "term string, clean long, toxic long, docs long, near long")
+    counted = rows.select("text", "y").mapInArrow(run, "term string, clean long, toxic long, docs long, near long")
     counted = materialize(counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.bit_count(F.bit_or("near")).cast("long").alias("near")), "terms")
     least = level(counted.count(), size, config)
     # of the terms tested, those alone that can pass come to the driver: far more often in toxic texts, and often enough

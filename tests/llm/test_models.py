@@ -159,6 +159,13 @@ def test_toxicity_by_loops(spark):
         assert np.isclose(r.score, 1 / (1 + np.exp(-(model.slope * z + model.shift))), atol=1e-4)
 
 
+def test_very_long_words_are_terms_too():
+    config = toxicity.ToxicityConfig()
+    long = "x" * 3_000_000
+    held = toxicity.count_terms([(f"{long} a", 1), (long, 0), (long + "y", 0)], config)
+    assert max(map(len, held)) < 80 and sorted(v[:2] for k, v in held.items() if k[0] == "#") == [[1, 0], [1, 1]]
+
+
 def test_copies_make_no_voters():
     config = toxicity.ToxicityConfig()
     rows = [(f"some clean text number{i} of plain words", 0) for i in range(200)] + [(f"copied paragraph by somebody unusual x{i}", 1) for i in range(30)]
