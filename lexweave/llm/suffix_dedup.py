@@ -219,9 +219,9 @@ def slabs(b: np.ndarray, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _bounded(side: DataFrame, row: int, config: RepeatConfig) -> DataFrame:
-    """side, to be broadcast if its rows, of `row` bytes each, are within the bound."""
-    return F.broadcast(side) if side.count() * row <= config.broadcast_bytes else side
+def _bounded(side: DataFrame, row: int, most: int) -> DataFrame:
+    """side, to be broadcast if its rows, of `row` bytes each, take `most` bytes at most; never beyond, whatever its files' size."""
+    return F.broadcast(side) if side.count() * row <= most else side.hint("merge")
 
 
 def _keys() -> list[Column]:
@@ -341,12 +341,12 @@ def repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame
     every = _slab_table(docs, config)  # made twice: cheaper than keeping it
     seen = every.groupBy("fp").agg(F.count("*").alias("n"), F.min("slab").alias("a"), F.max("slab").alias("b")).filter("n > 1").select("fp", "n", (F.col("a") != F.col("b")).alias("mixed"))
     seen = materialize(seen, "seen-anchors")  # so that a crowded anchor can be split in the join
-    live = materialize(every.select("k1", "k2", (F.col("lo") * 256 + F.col("hi") - F.col("lo")).alias("place"), "fp", "slab").join(_bounded(seen, 17, config), "fp").select("k1", "k2", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("hi"), "fp", "slab", "n", "mixed"), "live-slabs")
+    live = materialize(every.select("k1", "k2", (F.col("lo") * 256 + F.col("hi") - F.col("lo")).alias("place"), "fp", "slab").join(_bounded(seen, 17, config.broadcast_bytes // 4), "fp").select("k1", "k2", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("hi"), "fp", "slab", "n", "mixed"), "live-slabs")
     whole = live.filter("NOT mixed").select("k1", "k2", "lo", "hi")
     mixed = live.filter("mixed")
     kinds = materialize(mixed.groupBy("fp", "slab").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "hi", "n")).alias("at")), "mixed-slabs")
     again = materialize(kinds.filter("times > 1").select("fp", "slab"), "copied-slabs")
-    copied = mixed.join(_bounded(again, 16, config), ["fp", "slab"]).select("k1", "k2", "lo", "hi")  # a hot slab stays where it is
+    copied = mixed.join(_bounded(again, 16, config.broadcast_bytes), ["fp", "slab"]).select("k1", "k2", "lo", "hi")  # a hot slab stays where it is
     wanted = kinds.select("fp", "slab", "times", "at.*")
     windows = kinds.agg(F.sum(F.col("at.hi") - F.col("at.lo") + 1)).first()[0] or 0
     n = max(shuffle_partitions(docs.sparkSession), -(-windows // config.family_windows))
