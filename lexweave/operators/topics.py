@@ -105,9 +105,10 @@ def topic_graph(transitions: DataFrame, least: float = 0.75, near: int = 5) -> t
     d = materialize(d, "topic-nodes")
     token = F.array_distinct(F.concat(F.transform("entities", lambda x: F.concat(F.lit("e"), x)), F.transform("words", lambda x: F.concat(F.lit("w"), x))))
     t = d.select("doc_id", "node", F.explode(token).alias("t"))
-    pairs = t.alias("x").join(t.alias("y"), ["doc_id", "t"]).filter("y.node < x.node").select("doc_id", F.col("x.node").alias("node"), F.col("y.node").alias("from_node")).distinct()
-    both = pairs.join(d.select("doc_id", "node", F.struct("lo", "hi", "entities", "words", "signals").alias("x")), ["doc_id", "node"])
-    both = both.join(d.select("doc_id", F.col("node").alias("from_node"), F.struct("lo", "hi", "entities", "words", "signals").alias("y")), ["doc_id", "from_node"])
+    # no side is broadcast, here and below: compressed files hold many more rows than their size suggests
+    pairs = t.alias("x").join(t.alias("y").hint("merge"), ["doc_id", "t"]).filter("y.node < x.node").select("doc_id", F.col("x.node").alias("node"), F.col("y.node").alias("from_node")).distinct()
+    both = pairs.join(d.select("doc_id", "node", F.struct("lo", "hi", "entities", "words", "signals").alias("x")).hint("merge"), ["doc_id", "node"])
+    both = both.join(d.select("doc_id", F.col("node").alias("from_node"), F.struct("lo", "hi", "entities", "words", "signals").alias("y")).hint("merge"), ["doc_id", "from_node"])
     apart = (F.abs(F.col("x.lo") - F.col("y.hi")) > near) & (F.abs(F.col("y.lo") - F.col("x.hi")) > near)
     again = both.withColumn("strength", similarity("x", "y")).filter((F.col("strength") > least) & apart)
     again = again.groupBy("doc_id", "node").agg(F.min_by(F.struct("from_node", "strength"), "from_node").alias("m")).select("doc_id", "node", "m.*")
@@ -118,15 +119,15 @@ def topic_graph(transitions: DataFrame, least: float = 0.75, near: int = 5) -> t
     drift = drift.select("doc_id", (F.col("node") - 1).alias("from_node"), F.col("node").alias("to_node"), F.lit("DRIFT").alias("transition_type"), (1 - similarity("x", "y")).alias("strength"))
     edges = again.select("doc_id", "from_node", F.col("node").alias("to_node"), F.lit("RECURRENCE").alias("transition_type"), "strength").unionByName(drift)
     label = d.select("doc_id", F.col("node").alias("root"), F.col("label").alias("_l"))
-    nodes = d.drop("label").join(_roots(again.select("doc_id", "node", F.col("from_node").alias("root"))), ["doc_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    return nodes.join(label, ["doc_id", "root"]).select("doc_id", "node", "lo", "hi", F.col("_l").alias("label"), F.col("root").alias("label_of")), edges
+    nodes = d.drop("label").join(_roots(again.select("doc_id", "node", F.col("from_node").alias("root"))).hint("merge"), ["doc_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(label.hint("merge"), ["doc_id", "root"]).select("doc_id", "node", "lo", "hi", F.col("_l").alias("label"), F.col("root").alias("label_of")), edges
 
 
 def _roots(up: DataFrame) -> DataFrame:
     """The end of each chain of nodes, by pointer jumping: as many rounds as the longest chain has bits."""
     while True:
         over = up.select("doc_id", F.col("node").alias("root"), F.col("root").alias("_next"))
-        jumped = materialize(up.join(over, ["doc_id", "root"], "left"), "topic-roots")
+        jumped = materialize(up.join(over.hint("merge"), ["doc_id", "root"], "left"), "topic-roots")
         if jumped.filter("_next IS NOT NULL").isEmpty():
             return up
         up = jumped.select("doc_id", "node", F.coalesce("_next", "root").alias("root"))
