@@ -115,7 +115,7 @@ def topic_graph(transitions: DataFrame, least: float = 0.75, near: int = 5) -> t
     again = materialize(again, "topic-recurrence")
     here = d.select("doc_id", "node", F.struct("entities", "words", "signals").alias("x"))
     prior = F.lag(F.struct("entities", "words", "signals")).over(Window.partitionBy("doc_id").orderBy("node"))
-    drift = here.join(d.select("doc_id", "node", prior.alias("y")), ["doc_id", "node"]).filter("node > 0").join(again.select("doc_id", "node"), ["doc_id", "node"], "left_anti")
+    drift = here.join(d.select("doc_id", "node", prior.alias("y")).hint("merge"), ["doc_id", "node"]).filter("node > 0").join(again.select("doc_id", "node").hint("merge"), ["doc_id", "node"], "left_anti")
     drift = drift.select("doc_id", (F.col("node") - 1).alias("from_node"), F.col("node").alias("to_node"), F.lit("DRIFT").alias("transition_type"), (1 - similarity("x", "y")).alias("strength"))
     edges = again.select("doc_id", "from_node", F.col("node").alias("to_node"), F.lit("RECURRENCE").alias("transition_type"), "strength").unionByName(drift)
     label = d.select("doc_id", F.col("node").alias("root"), F.col("label").alias("_l"))

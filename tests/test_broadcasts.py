@@ -29,3 +29,10 @@ def test_topic_nodes(spark, monkeypatch):
     nodes, _ = graph(spark)
     assert len(plans) >= 3 and not any("Broadcast" in p for p in [*plans, plan(nodes)])
     assert {r.node: r.label for r in nodes.collect()} == {k: f"L{k % 2}" for k in range(6)}
+
+
+def test_topic_edges(spark, monkeypatch):
+    plans = planned(monkeypatch, topics)
+    _, edges = graph(spark)
+    assert not any("Broadcast" in p for p in [*plans, plan(edges)])
+    assert {(r.from_node, r.to_node, r.transition_type) for r in edges.collect()} == {(0, 1, "DRIFT")} | {(k % 2, k, "RECURRENCE") for k in range(2, 6)}
