@@ -16,6 +16,14 @@ SOUND_WEIGHT, NEAR, ODD, KNOWN_SCORE = 0.85, 0.5, 0.45, 0.95
 CJK = "[一-鿿]"
 
 
+def _listed(d: DataFrame, most: int = 100_000) -> DataFrame:
+    """A list for a join: broadcast if it has few rows, else shuffled.
+
+    Spark goes by the size of files, compressed as they are, and knows none of a list made on the driver; so it
+    would broadcast what is joined to the list. What grows with the texts has the hint to merge, for the same reason."""
+    return F.broadcast(d) if d.limit(most + 1).count() <= most else d.hint("merge")
+
+
 def alikeness(a: str, b: str, readings: Mapping[str, str]) -> float:
     """The better of matching characters and (weighed less) matching sounds."""
     sound = lambda x: "".join(readings.get(c, c) for c in x)
@@ -42,9 +50,9 @@ def nearest_alias(surfaces: DataFrame, aliases: DataFrame, readings: Mapping[str
     own = surfaces.filter("surface IS NOT NULL").select("surface").distinct()
     s = own.select("surface", F.explode(symbols("surface")).alias("t"))
     a = aliases.select("alias", "seq", F.explode(symbols("alias")).alias("t"))
-    pairs = s.join(a, "t").select("surface", "alias", "seq").distinct().withColumn("likeness", alike("surface", "alias"))
+    pairs = s.join(_listed(a), "t").select("surface", "alias", "seq").distinct().withColumn("likeness", alike("surface", "alias"))
     best = pairs.groupBy("surface").agg(F.max_by(F.struct("alias", "likeness"), F.struct("likeness", -F.col("seq"))).alias("m"))
-    return own.join(best, "surface", "left").select("surface", F.when(F.col("m.likeness") >= NEAR, F.col("m.alias")).alias("alias"), F.coalesce("m.likeness", F.lit(0.0)).alias("likeness"))
+    return own.join(best.hint("merge"), "surface", "left").select("surface", F.when(F.col("m.likeness") >= NEAR, F.col("m.alias")).alias("alias"), F.coalesce("m.likeness", F.lit(0.0)).alias("likeness"))
 
 
 def alias_contexts(sentences: DataFrame, aliases: DataFrame, width: int = 2, k: int = 10) -> DataFrame:
@@ -61,7 +69,7 @@ def first_places(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
     """(sentence_id, text, surface, at): the first place of each alias in each sentence."""
     s = sentences.select(F.col("sentence_id").alias("doc_id"), F.lit(0).alias("cue_index"), "text")
     found = containment_spans(s, aliases.select("surface").distinct()).groupBy("doc_id", "surface").agg(F.min("start_char").cast("int").alias("at"))
-    return found.withColumnRenamed("doc_id", "sentence_id").join(sentences, "sentence_id")
+    return found.withColumnRenamed("doc_id", "sentence_id").join(sentences.hint("merge"), "sentence_id")
 
 
 def context_patterns(sentences: DataFrame, entities: DataFrame, width: int = 5, keep: str = r"[^一-鿿]") -> DataFrame:
@@ -77,12 +85,12 @@ def surface_scores(surfaces: DataFrame, grams: DataFrame, near: DataFrame, conte
     contexts (0.9 if one is in the surface, 0.2 if none, 0.4 if it has none), and bigram coverage."""
     totals = grams.groupBy("n").agg(F.sum("cnt").alias("total"))  # a row for each n
     g = surfaces.select("surface", F.explode(T.char_ngrams(F.col("surface"), 2, 3, "$^")).alias("gram")).withColumn("n", F.length("gram"))
-    g = g.join(grams.select("gram", "cnt"), "gram", "left").join(F.broadcast(totals), "n")
+    g = g.join(grams.select("gram", "cnt").hint("merge"), "gram", "left").join(F.broadcast(totals), "n")
     part = F.least(F.coalesce("cnt", F.lit(0)) / F.greatest(F.lit(1.0), F.col("total") * 0.001), F.lit(1.0))
     of = lambda n, x: F.avg(F.when(F.col("n") == n, x))
     s = g.groupBy("surface").agg(of(2, part).alias("bi"), of(3, part).alias("tri"), of(2, F.col("cnt").isNotNull().cast("double")).alias("cover"))
     beside = contexts.groupBy("alias").agg(F.collect_list("context").alias("_ctx"))  # at most ten of an alias
-    d = surfaces.select("surface").distinct().join(near.select("surface", "alias"), "surface", "left").join(beside, "alias", "left").join(s, "surface", "left")
+    d = surfaces.select("surface").distinct().join(near.select("surface", "alias").hint("merge"), "surface", "left").join(s.hint("merge"), "surface", "left").join(_listed(beside), "alias", "left")
     fits = F.exists("_ctx", lambda x: F.contains(F.col("surface"), x))
     hint = F.when(F.col("alias").isNull(), F.lit(None)).when(F.col("_ctx").isNull(), 0.4).when(fits, 0.9).otherwise(0.2)
     parts = F.filter(F.array(F.coalesce("bi", F.lit(0.5)), F.col("tri"), hint, F.col("cover")), lambda x: x.isNotNull())
@@ -105,15 +113,16 @@ def detect(cues: DataFrame, known: DataFrame, grams: DataFrame, contexts: DataFr
     `odd`; with a near alias they become a candidate for it."""
     w = surfaces_of(cues, letter)
     spans = containment_spans(cues, known.select("surface"))
-    own = spans.select("doc_id", "cue_index", "surface").distinct().join(w, ["doc_id", "cue_index", "surface"]).join(known.select("surface", "canonical"), "surface")
+    own = spans.select("doc_id", "cue_index", "surface").distinct().join(w.hint("merge"), ["doc_id", "cue_index", "surface"]).join(_listed(known.select("surface", "canonical")), "surface")
     k = spans.select(F.col("doc_id").alias("kd"), F.col("cue_index").alias("kc"), F.col("start_char").alias("ks"), F.col("end_char").alias("ke"))
     end = F.col("start_char") + F.length("surface")
-    free = w.join(k, (F.col("doc_id") == F.col("kd")) & (F.col("cue_index") == F.col("kc")) & (F.col("start_char") < F.col("ke")) & (F.col("ks") < end), "left_anti")
+    free = w.join(k.hint("merge"), (F.col("doc_id") == F.col("kd")) & (F.col("cue_index") == F.col("kc")) & (F.col("start_char") < F.col("ke")) & (F.col("ks") < end), "left_anti")
     near = nearest_alias(free.select("surface"), known.select(F.col("surface").alias("alias"), "seq"), readings)
     scores = surface_scores(free.select("surface").distinct(), grams, near, contexts)
-    strange = free.join(scores.filter(F.col("score") < odd), "surface").join(near.filter("alias IS NOT NULL"), "surface")
+    # one join of the windows: a frequent surface can be split
+    strange = free.join(scores.filter(F.col("score") < odd).join(near.filter("alias IS NOT NULL").hint("merge"), "surface").hint("merge"), "surface")
     canon = known.select(F.col("surface").alias("alias"), "canonical")
-    c1 = strange.join(canon, "alias").select("doc_id", "cue_index", "surface", "start_char", F.col("alias").alias("value"), "canonical", (1 - F.round("score", 3)).alias("score"), F.lit("contextual_expand").alias("expansion_policy"), F.lit("lm_near_alias").alias("evidence_type"))
+    c1 = strange.join(_listed(canon), "alias").select("doc_id", "cue_index", "surface", "start_char", F.col("alias").alias("value"), "canonical", (1 - F.round("score", 3)).alias("score"), F.lit("contextual_expand").alias("expansion_policy"), F.lit("lm_near_alias").alias("evidence_type"))
     c2 = own.select("doc_id", "cue_index", "surface", "start_char", F.col("surface").alias("value"), "canonical", F.lit(KNOWN_SCORE).alias("score"), F.lit("preserve_surface").alias("expansion_policy"), F.lit("known_alias").alias("evidence_type"))
     d = c1.unionByName(c2)
     risk = F.max(F.when(F.col("evidence_type") == "lm_near_alias", F.col("score"))).over(Window.partitionBy("doc_id", "cue_index"))

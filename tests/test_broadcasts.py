@@ -1,6 +1,6 @@
 """Joins of sides that grow with the data are never broadcasts, whatever the size of their files."""
 
-from lexweave.operators import topics
+from lexweave.operators import corpus, language, topics
 
 
 def planned(monkeypatch, module):
@@ -36,3 +36,17 @@ def test_topic_edges(spark, monkeypatch):
     _, edges = graph(spark)
     assert not any("Broadcast" in p for p in [*plans, plan(edges)])
     assert {(r.from_node, r.to_node, r.transition_type) for r in edges.collect()} == {(0, 1, "DRIFT")} | {(k % 2, k, "RECURRENCE") for k in range(2, 6)}
+
+
+def test_language_detector(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "他有芙芙好用"), (2, 0, "用夫妇打")], "sentence_id long, cue_index long, text string").write.parquet(f"{tmp_path}/text")
+    text = spark.read.parquet(f"{tmp_path}/text")
+    known = spark.createDataFrame([("芙芙", "芙宁娜", 0)], "surface string, canonical string, seq int")
+    joins = lambda d: [x for x in plan(d).splitlines() if "Join" in x]
+    contexts = language.alias_contexts(text, known)
+    assert [x for x in joins(contexts) if "sentence_id" in x] and all("SortMergeJoin" in x for x in joins(contexts) if "sentence_id" in x)
+    cues = text.select(text.sentence_id.alias("doc_id"), "cue_index", "text")
+    found = language.detect(cues, known, corpus.ngram_counts(text.filter("sentence_id = 1").select("text")), contexts, {"芙": "fu", "夫": "fu", "妇": "fu"})
+    large = [x for x in joins(found) if "doc_id" in x or "gram" in x or "LeftOuter" in x and "surface" in x]
+    assert large and all("SortMergeJoin" in x for x in large) and not any("BuildLeft" in x for x in joins(found))
+    assert {(r.doc_id, r.surface, r.value) for r in found.collect()} >= {(1, "芙芙", "芙芙"), (2, "夫妇", "芙芙")}
