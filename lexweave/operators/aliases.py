@@ -109,18 +109,22 @@ def risk_flags(alias: Column, term: Column, owners: Column, words: AliasWords =
     return F.concat_ws("|", place, F.when(owners > 1, "ambiguous_alias"), F.when(_among(alias, words.ambiguous), "ambiguous_prefix"))
 
 
-def occurrences_in(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
+def occurrences_in(sentences: DataFrame, aliases: DataFrame, broadcast_aliases: int = 100_000) -> DataFrame:
     """sentence_id, alias, first: each alias in each sentence that holds it, with its first place.
 
     Sentences are cut into the lengths that aliases have and joined by equality."""
-    lengths = [r[0] for r in aliases.select(F.length("alias")).distinct().collect() if r[0]]  # a few numbers
+    a = aliases.filter(F.length("alias") > 0).select("alias").distinct()
+    used = a.groupBy(F.length("alias").alias("n")).agg(F.count("*").alias("k")).collect()  # a few numbers
+    lengths = [r["n"] for r in used]
     c = F.col("_c")  # characters: a substring from far inside would walk the text again
     of = lambda n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.struct(F.concat(*[F.get(c, i + k) for k in range(n)]).alias("alias"), i.alias("first"))))
     if not lengths:
         return sentences.select("sentence_id", F.lit("").alias("alias"), F.lit(0).alias("first")).limit(0)
     every = F.flatten(F.filter(F.array(*[of(n) for n in lengths]), lambda x: x.isNotNull()))
     at = sentences.select("sentence_id", F.split("sentence", "").alias("_c")).select("sentence_id", F.explode(every).alias("w")).select("sentence_id", "w.*")
-    return at.join(aliases.select("alias").distinct(), "alias").groupBy("sentence_id", "alias").agg(F.min("first").alias("first"))
+    # the exploded side must never be the broadcast one, whatever its files' size suggests
+    a = F.broadcast(a) if sum(r["k"] for r in used) <= broadcast_aliases else a.hint("merge")
+    return at.join(a, "alias").groupBy("sentence_id", "alias").agg(F.min("first").alias("first"))
 
 
 def evidence(sentences: DataFrame, aliases: DataFrame, examples: int = 5, around: int = 6, longest: int = 50) -> DataFrame:
@@ -129,20 +133,20 @@ def evidence(sentences: DataFrame, aliases: DataFrame, examples: int = 5, around
     counted = found.groupBy("alias").agg(F.count("*").alias("evidence"))
     # the first sentences of an alias are kept by each task before they are shuffled
     w = Window.partitionBy("alias").orderBy("sentence_id")
-    first = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= examples).join(sentences, "sentence_id")
+    first = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= examples).join(sentences.hint("merge"), "sentence_id")
     begin = F.greatest(F.lit(0), F.col("first") - around)
     end = F.least(F.length("sentence"), F.col("first") + F.length("alias") + around)
     snippet = F.substring(F.trim(F.substring(F.col("sentence"), begin + 1, end - begin)), F.lit(1), F.lit(longest))
     held = first.groupBy("alias").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", snippet.alias("s")))), lambda x: x["s"]).alias("examples"))
-    return counted.join(held, "alias")
+    return counted.join(held.hint("merge"), "alias")
 
 
 def mined(sentences: DataFrame, terms: DataFrame, support: int = 2, words: AliasWords = MINING) -> DataFrame:
     """alias, term, evidence, owners, confidence, risk_flags, examples, review_status of the short forms of
     terms(term, category, seq) that at least `support` sentences hold; of several owners the first by seq."""
-    pairs = mined_candidates(terms, words).join(terms.groupBy("term").agg(F.min("seq").alias("seq")), "term")
+    pairs = mined_candidates(terms, words).join(terms.groupBy("term").agg(F.min("seq").alias("seq")).hint("merge"), "term")
     owners = pairs.groupBy("alias").agg(F.count("*").alias("owners"), F.min_by("term", F.struct("seq", "term")).alias("term"))
-    d = owners.join(evidence(sentences, owners).filter(F.col("evidence") >= support), "alias")
+    d = owners.join(evidence(sentences, owners).filter(F.col("evidence") >= support).hint("merge"), "alias")
     confidence = F.round(mined_confidence(F.col("evidence"), F.col("owners"), F.endswith("term", "alias")), 2)
     return d.select("alias", "term", "evidence", "owners", confidence.alias("confidence"), risk_flags(F.col("alias"), F.col("term"), F.col("owners"), words).alias("risk_flags"), "examples", F.lit("pending").alias("review_status"))
 

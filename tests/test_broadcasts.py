@@ -1,6 +1,6 @@
 """Joins of sides that grow with the data are never broadcasts, whatever the size of their files."""
 
-from lexweave.operators import corpus, language, topics
+from lexweave.operators import aliases, corpus, language, topics
 
 
 def planned(monkeypatch, module):
@@ -50,3 +50,18 @@ def test_language_detector(spark, tmp_path):
     large = [x for x in joins(found) if "doc_id" in x or "gram" in x or "LeftOuter" in x and "surface" in x]
     assert large and all("SortMergeJoin" in x for x in large) and not any("BuildLeft" in x for x in joins(found))
     assert {(r.doc_id, r.surface, r.value) for r in found.collect()} >= {(1, "芙芙", "芙芙"), (2, "夫妇", "芙芙")}
+
+
+def test_alias_mining_terms(spark, tmp_path):
+    spark.createDataFrame([(1, "ab cd ab"), (2, "xab"), (3, ""), (4, None)], "sentence_id long, sentence string").write.parquet(f"{tmp_path}/text")
+    spark.createDataFrame([("ab",), ("ab",), ("cd ",), ("",), (None,)], "alias string").write.parquet(f"{tmp_path}/aliases")
+    text, short = spark.read.parquet(f"{tmp_path}/text"), spark.read.parquet(f"{tmp_path}/aliases")
+    at = [x for x in plan(aliases.evidence(text, short)).splitlines() if "Join [sentence_id" in x]
+    assert at and all("SortMergeJoin" in x for x in at)
+    # as if the list were long, or of unknown size as one that comes from the driver: no file tells which side is small
+    for most, unknown in ((100_000, False), (100_000, True), (0, False)):
+        d = spark.createDataFrame(short.rdd, short.schema) if unknown else short
+        found = aliases.occurrences_in(text, d, broadcast_aliases=most)
+        assert "BuildLeft" not in plan(found) and ("BroadcastHashJoin" in plan(found)) == (most > 0)
+        assert {(r.sentence_id, r.alias, r.first) for r in found.collect()} == {(1, "ab", 0), (1, "cd ", 3), (2, "ab", 1)}
+        assert {(r.alias, r.evidence) for r in aliases.evidence(text, d).collect()} == {("ab", 2), ("cd ", 1)}
