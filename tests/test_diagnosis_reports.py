@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexweave.functions import phonetic
+from lexweave.functions import text as T
 from lexweave.operators import corpus, diagnosis, language, reports
 
 
@@ -18,6 +19,24 @@ def test_causes(spark):
     assert d.orderBy("id").first().terms == ["芙宁", "宁娜", "娜来"][:2] + ["芙宁娜", "宁娜来", "芙宁娜来"]
 
 
+def test_gold_terms(spark):
+    """A line end is no letter, repeated terms are kept, and long texts equal a plain loop."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abc 😀芙\n") for _ in range(2000))
+    rows = [("x", "ab\n"), ("ab", "abcab bcb"), ("ab", "ab"), ("", "ab"), (None, "ab"), ("ab", None), (long, long[:900] + "cacbcbab" + long[900:])]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, raw string, gold string").withColumn("terms", diagnosis.gold_terms(F.col("raw"), F.col("gold"), "[a-z]"))
+    for r in d.collect():
+        every = lambda t: [t[i : i + n] for n in range(2, 6) for i in range(len(t) - n + 1) if set(t[i : i + n]) <= set("abcx")]
+        known = set(every(r.raw or ""))
+        assert r.terms == ([x for x in every(r.gold) if x not in known] if r.raw and r.gold else [])
+
+
+def test_hamming_plus(spark):
+    rows = [("a😀c", "a芙c", 1), ("", "ab", 2), ("ab", "", 2), ("", "", 0), ("abc", "abcd", 1), ("xbc", "abcdefg", 7), (None, "a", None), ("a", None, None)]
+    d = spark.createDataFrame(rows, "a string, b string, n int")
+    assert all(r.n == r.m for r in d.select("n", T.hamming_plus(F.col("a"), F.col("b")).alias("m")).collect())
+
+
 def test_stage(spark):
     arr = "array<string>"
     rows = [(["x"], [], [], [], [], [], False, False), ([], [], [], [], [], [], False, False), (["g"], [], [], [], [], [], False, False), (["g"], ["g"], [], [], ["missing_stable_entities"], [], False, False), (["g"], ["g"], [], ["g"], [], ["keep"], False, False), (["g"], ["g"], [], ["g"], [], ["replace"], False, False), (["g"], ["g"], [], [], [], [], True, False), (["g"], ["g"], [], [], [], [], False, False), (["g"], ["g"], [], [], [], [], True, True)]
