@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import decontam, jaccard_join, langid, packing, pii
-from lexweave.session import materialize, ship_package, table
+from lexweave.session import bound_batches, materialize, ship_package, table
+
+
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a letter are rejected, equal rows are judged alike, and without any
     labelled row every document stays."""
-    ship_package(spark)
+    _ready(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
@@ -28,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of similar documents stays: the one with the least doc_id.
 
     Null and wordless texts are like no other and all stay; of equal rows one stays."""
-    ship_package(spark)
+    _ready(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -36,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a window of the benchmark go.
 
     Null texts hold none, and an empty benchmark takes nothing."""
-    ship_package(spark)
+    _ready(spark)
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,13 +49,13 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Personal data and the terms that reveal it are generalised; no document goes.
 
     Null texts stay null and keep their n_chars."""
-    ship_package(spark)
+    _ready(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, placed in sequences: a null text is an empty one, of one piece with the end token."""
-    ship_package(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 

@@ -73,8 +73,12 @@ class JoinConfig:
 
 
 class _Ids(dict):
+    """Hashes of words met lately, at most `most`; a worker keeps them for its life."""
+
+    most = 25_000
+
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) >= self.most:
             self.clear()
         v = self[word] = xxhash.xxh64_intdigest(word)
         return v

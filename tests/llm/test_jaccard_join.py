@@ -86,3 +86,10 @@ def test_keep_one(spark, edge):
 
 def test_runs_reach_the_recall():
     assert 6 <= jj.JoinConfig().runs <= 14
+
+
+def test_hashes_of_words_take_bounded_memory():
+    few = jj.grams("one two three four five six")
+    many = jj.grams(" ".join(f"word{i}" for i in range(60_000)))
+    assert len(jj._IDS) <= 30_000 and len(many) == 60_000 - 4
+    assert (jj.grams("one two three four five six") == few).all()

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+from lexweave import session
 from lexweave.llm import decontam, html_extract, jaccard_join, langid, packing
 from tests.llm.conftest import EDGE, SF
 
@@ -275,3 +277,27 @@ def test_pipeline_stages_on_edge_rows(spark, edge, empty, clash):
         assert sum(r.piece == 0 for r in packed) == rows
     unlabelled = edge.withColumn("lang", edge["lang"].substr(1, 0)).withColumn("lang", edge["source"].substr(9, 0)).na.replace("", None, ["lang"])
     assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == len(EDGE)
+
+
+def test_pipeline_sends_texts_in_small_batches(spark, edge):
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", 30_000
+
+    def batches(rows):
+        for b in rows:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    docs = spark.range(400, numPartitions=1).selectExpr("id doc_id", f"repeat('w', {size}) text", "'en' lang", "'a' source", "1L n_chars")
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        sent = corpus_pipeline.decontamination(spark, docs, SF).mapInArrow(batches, "rows long, bytes long").collect()
+        assert sum(r.rows for r in sent) == 400 and max(r.bytes for r in sent) <= 3 << 20
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, edge, SF)
+            assert spark.conf.get(key, None) == str(session.BATCH_BYTES), name
+        spark.conf.set(key, "5m")
+        corpus_pipeline.decontamination(spark, edge, SF)
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
